@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwork.llm import bpe, packing, warc
+from ringwork.llm import bpe, packing, spans, warc
+from ringwork.llm.oracles import ORACLES
 from ringwork.runtime import ship
 
 
@@ -37,10 +38,22 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = spans.dedup_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), report="found")
+    return cleaned.select("doc_id", "text", F.col("found.n").alias("n_chars"), "found.n_removed", "found.n_spans")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = spans.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report="found")
+    return cleaned.select("doc_id", "text", F.col("found.n").alias("n_lines"), "found.n_removed", "found.n_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
+    "op5_line_dedup": op5_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
