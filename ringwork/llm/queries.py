@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwork.llm import bpe, packing, spans, warc
+from ringwork.llm import bpe, fingerprints, packing, spans, warc
 from ringwork.llm.oracles import ORACLES
 from ringwork.runtime import ship
 
@@ -48,12 +48,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", F.col("found.n").alias("n_lines"), "found.n_removed", "found.n_spans")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    text = {name: fingerprints.as_text(F.col(column)) for name, column in (("fingerprint", "sketch"), ("edited_fingerprint", "edited_sketch"))}
+    near = {f"near_{name}": fingerprints.likeness(F.col("sketch"), F.col(f"{name}_sketch")) for name in ("edited", "next")}
+    contained = fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_edited")
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[c.alias(k) for k, c in {**text, **near}.items()], contained)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
