@@ -22,9 +22,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 LEAF = 1024  # bytes of unsplit text that the library encodes in one call
 WINDOW = 32  # bytes of the first window on each side of a join
-CACHED = 600_000  # units remembered by a worker
+CACHED = 600_000  # units remembered by a worker, beside as many older ones
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
+BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
+CLOSE_MARK = re.compile(r"(?<![^\W_])[.,]|[.,](?=\S)")
 
 
 def tokenizer(path: str):
@@ -109,9 +111,10 @@ class Encoder:
     def __init__(self, path: str, leaf: int = LEAF):
         self.tok, self.leaf = tokenizer(path), leaf
         self.path = path
-        held = sys.modules[__name__].__dict__.setdefault("_units", {})
-        self.units = held.setdefault((path, leaf), {})
+        self.held = sys.modules[__name__].__dict__.setdefault("_units", {}).setdefault((path, leaf), [{}, {}])
+        self.units, self.older = self.held
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.plain = all(t == t.lower() and not re.search("[.,]", t) for t in self.special)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def long_unit(self, unit: str) -> list[int]:
@@ -126,25 +129,28 @@ class Encoder:
                     out += encode_long(piece, tokenize, self.leaf)
         return out
 
-    def learn(self, units: set[str]) -> None:
-        """Remember ids of units not seen before, as bytes of int32.
+    def units_of(self, text: str | None) -> list[str]:
+        """The units of a text; lowered, and with full stops and commas apart, where that is certain to change no id.
 
-        A letter ends a piece before a full stop or comma, and ASCII letters are lowered one by one, so such units are put together from the
-        ids of their lowered word; the words left are encoded in one call.
+        Lowering is where each letter is lowered by itself and none takes a mark from its neighbour. Setting a mark apart is where a letter or digit stands
+        before each and space or the end behind it: pieces end there anyway.
         """
-        known, made, new = self.units, [], {".", ","}
-        for u in units:
-            word, mark = (u[:-1], u[-1]) if u[-1] in ".," else (u, "")
-            if word.isascii() and word.isalpha():
-                made.append((u, word := word.lower(), mark))
-                new.add(word)
-            elif mark and word.isalpha():
-                made.append((u, word, mark))
-                new.add(word)
-            else:
-                new.add(u)
-        new.difference_update(known)
-        short = [u for u in new if len(u) <= self.leaf // 4]
+        if not text:
+            return []
+        if ODD_SPACE.search(text):
+            return [u for u in SPACE.split(text) if u]
+        if not self.plain:
+            return text.split()
+        if not BEYOND.search(text):
+            text = text.lower()
+            if not CLOSE_MARK.search(text):
+                text = text.replace(".", " .").replace(",", " ,")
+        return text.split()
+
+    def learn(self, units: set[str]) -> None:
+        """Remember ids of units not seen before, as bytes of int32; short ones are encoded in one call."""
+        known = self.units
+        short = [u for u in units if len(u) <= self.leaf // 4]
         if short:
             e = self.tok.encode(short, is_pretokenized=True, add_special_tokens=False)
             ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(short) + 1)) * 4
@@ -152,31 +158,27 @@ class Encoder:
             for u, end in zip(short, ends.tolist(), strict=True):
                 known[u] = ids[start:end]
                 start = end
-        for u in new:
+        for u in units:
             if len(u) > self.leaf // 4:
                 known[u] = np.array(self.long_unit(u), "<i4").tobytes()
-        for u, word, mark in made:
-            known[u] = known[word] + known[mark] if mark else known[word]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another (int32), and the places where texts begin and the last one ends."""
-        split = [(SPACE.split(t) if ODD_SPACE.search(t) else t.split()) if t else [] for t in texts]
-        needed = set().union(*split)
-        needed.discard("")
-        new = needed.difference(self.units)
-        if len(self.units) + 2 * len(new) > CACHED:
-            self.units.clear()
-            new = needed
+        split = list(map(self.units_of, texts))
+        if len(self.units) > CACHED:  # what is in use moves to the new table
+            self.older, self.units = self.units, {}
+        new = set()
+        for words in split:
+            new.update(set(words).difference(self.units))
+        again = {u: self.older[u] for u in new if u in self.older}
+        self.units.update(again)
+        new.difference_update(again)
         if new:
             self.learn(new)
-        ids = []
-        for words in split:
-            try:
-                ids.append(b"".join(map(self.units.__getitem__, words)))
-            except KeyError:  # "" beside white space at an end
-                ids.append(b"".join(self.units[w] for w in words if w))
+        ids = [b"".join(map(self.units.__getitem__, words)) for words in split]
         for u in [u for u in new if len(u) > self.leaf]:
             del self.units[u]  # long pieces hardly come again
+        self.held[:] = self.units, self.older
         return np.frombuffer(b"".join(ids), "<i4"), np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
