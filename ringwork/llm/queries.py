@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwork.llm import bpe, fingerprints, packing, spans, warc
+from ringwork.llm import bpe, fingerprints, packing, spans, toxicity, warc
 from ringwork.llm.oracles import ORACLES
 from ringwork.runtime import ship
 
@@ -56,12 +56,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[c.alias(k) for k, c in {**text, **near}.items()], contained)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.scored(docs, model)
+    return rows.select("doc_id", toxicity.fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
 }
 
