@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwork.llm import bpe, fingerprints, packing, spans, toxicity, warc
+from ringwork.llm import bpe, fingerprints, packing, spans, suffixes, toxicity, warc
 from ringwork.llm.oracles import ORACLES
 from ringwork.runtime import ship
 
@@ -63,6 +63,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
