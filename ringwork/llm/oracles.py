@@ -44,4 +44,13 @@ SELECT d.doc_id, CASE WHEN g.gone IS NULL THEN d.text ELSE array_to_string(list_
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_substring_dedup": OP2, "op4_warc": OP4, "op5_line_dedup": OP5}
+OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS ss FROM w WHERE len(ws) > 0),
+x AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS k FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT r.a AS doc_id, min(r.b) AS class_id, CAST((SELECT count(*) FROM p WHERE p.a = r.a) AS BIGINT) AS n_links FROM r GROUP BY r.a
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2, "op4_warc": OP4, "op5_line_dedup": OP5, "op7_jaccard_join": OP7}
