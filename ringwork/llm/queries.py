@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwork.llm import bpe, fingerprints, jaccard, packing, spans, suffixes, toxicity, warc
+from ringwork.llm import bpe, fingerprints, jaccard, media, packing, spans, suffixes, toxicity, warc
 from ringwork.llm.oracles import ORACLES
 from ringwork.runtime import ship
 
@@ -73,12 +73,21 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.media_columns(table(spark, sf_dir, "documents"))
+    payload = F.substring("media", media.HEADER + 1, (1 << 31) - 1)
+    files = files.withColumn("payload", payload)
+    tail = F.expr("substring(payload, -16, 16)")
+    return files.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), "media_sha256", "feature", "n_chunks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
+    "op6_media": op6_media,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
