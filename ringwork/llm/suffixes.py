@@ -363,6 +363,33 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
     return both.mapInArrow(run, f"`{name}` {kind}, n_bytes long, spans array<struct<s:int,e:int>>, kept {'string' if as_text else 'binary'}")
 
 
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the bytes of remove_repeats() gone from their texts, narrowed to whole characters; other columns pass unchanged. A null text stays null."""
+    spans = repeated_spans(keyed(docs, key, text))
+    named = docs.withColumns({"__id": F.col(f"`{key}`"), "__hash": F.xxhash64(F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8"))})
+    both = joined(named, spans, "left").select(*[f"`{c}`" for c in docs.columns], "__spans")
+    place, names = docs.columns.index(text), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                out = []
+                for t, found in zip(b.column(place).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                    if found:
+                        data, end, parts = t.encode(), 0, []
+                        for x in found:
+                            s, e = whole_characters(data, x["s"], x["e"])
+                            parts.append(data[end:s])
+                            end = e
+                        t = b"".join([*parts, data[end:]]).decode()
+                    out.append(t)
+                columns = [pa.array(out, pa.string()) if k == place else b.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(run, docs.schema)
+
+
 def whole_characters(data: bytes, s: int, e: int) -> tuple[int, int]:
     """The part of s..e that begins and ends between characters of UTF-8."""
     while s < e and data[s] & 0xC0 == 0x80:
