@@ -23,10 +23,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 LEAF = 1024  # bytes of unsplit text that the library encodes in one call
 WINDOW = 32  # bytes of the first window on each side of a join
 CACHED = 600_000  # units remembered by a worker, beside as many older ones
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the tokenizers
 SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
-BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
-CLOSE_MARK = re.compile(r"(?<![^\W_])[.,]|[.,](?=\S)")
 
 
 def tokenizer(path: str):
@@ -41,6 +39,36 @@ def tokenizer(path: str):
     return held[path]
 
 
+def marks_close(text: str) -> bool:
+    """Whether each full stop and comma has a letter or digit before it and a space, a line's end or the end behind it."""
+    for m in ".,":
+        if text.count(m) != text.count(m + " ") + text.count(m + "\n") + text.endswith(m) or not all(p[-1:].isalnum() for p in text.split(m)[:-1]):
+            return False
+    return True
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def byte_letters() -> list[str]:
+    """The letter by which byte-level tokenizers write each byte: itself if it is visible in Latin-1, else the next letter from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (chr(256 + k) for k in range(256))
+    return [chr(b) if b in seen else next(hidden) for b in range(256)]
+
+
+LETTERS = dict(enumerate(byte_letters()))
+
+
+def as_letters(text: str) -> str:
+    return text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(LETTERS)
+
+
 def leaves(n: int, leaf: int) -> list[tuple[int, int]]:
     """The cuts of halving 0..n until no part is longer than leaf."""
     todo, out = [(0, n)], []
@@ -137,20 +165,26 @@ class Encoder:
         """
         if not text:
             return []
-        if ODD_SPACE.search(text):
+        if any(c in text for c in ODD_SPACE):
             return [u for u in SPACE.split(text) if u]
         if not self.plain:
             return text.split()
-        if not BEYOND.search(text):
+        if is_latin(text):
             text = text.lower()
-            if not CLOSE_MARK.search(text):
+            if marks_close(text):
                 text = text.replace(".", " .").replace(",", " ,")
         return text.split()
 
     def learn(self, units: set[str]) -> None:
-        """Remember ids of units not seen before, as bytes of int32; short ones are encoded in one call."""
-        known = self.units
-        short = [u for u in units if len(u) <= self.leaf // 4]
+        """Remember ids of units not seen before, as bytes of int32; single words by the model alone, other short ones in one call."""
+        known, rest = self.units, []
+        tokenize = self.tok.model.tokenize
+        for u in units:
+            if self.plain and u.isascii() and u.isalpha() and u.islower() and len(u) <= self.leaf // 4:  # one piece, which nothing changes
+                known[u] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(u)])
+            else:
+                rest.append(u)
+        short = [u for u in rest if len(u) <= self.leaf // 4]
         if short:
             e = self.tok.encode(short, is_pretokenized=True, add_special_tokens=False)
             ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(short) + 1)) * 4
@@ -158,7 +192,7 @@ class Encoder:
             for u, end in zip(short, ends.tolist(), strict=True):
                 known[u] = ids[start:end]
                 start = end
-        for u in units:
+        for u in rest:
             if len(u) > self.leaf // 4:
                 known[u] = np.array(self.long_unit(u), "<i4").tobytes()
 

@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from ringwork.llm.bpe import ODD_SPACE, tokenizer
+from ringwork.llm.bpe import LETTERS, ODD_SPACE, as_letters, marks_close, tokenizer
 
 WINDOWS = 96  # windows divided together
 REST = 256  # longest piece of a document's rest
-CACHED = 500_000  # units remembered by a worker
+CACHED = 700_000  # units remembered by a worker, beside as many older ones
 UNIT = re.compile(r"\s+(?!\S)| ?\S+|\s")
+SPACE_LETTER = LETTERS[32]
+BARE = "\x01"  # before a unit that no space stands before
+UNEVEN = ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))  # space that is not single
 END_ID = 0
 
 
@@ -37,45 +40,62 @@ class ByteEncoder:
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.units: dict[str, bytes] = sys.modules[__name__].__dict__.setdefault("_units", {}).setdefault(path, {})
+        self.held = sys.modules[__name__].__dict__.setdefault("_units", {}).setdefault(path, [{}, {}])
+        self.units, self.older = self.held
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def units_of(self, text: str | None) -> list[str] | None:
+        """The units of a text: words that a space stands before, and after BARE what none stands before; None if it can't be cut so.
+
+        Full stops and commas are set apart where a letter or digit stands before each and space behind it: pieces end there.
+        """
+        if not text or any(c in text for c in ODD_SPACE) or BARE in text or any(s in text for s in self.special):
+            return None
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
+            return [u[1:] if u[0] == " " and len(u) > 1 else BARE + u for u in UNIT.findall(text)]
+        if marks_close(text):
+            text = text.replace(".", f" {BARE}.").replace(",", f" {BARE},")
+        return (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" ")
+
     def learn(self, units: set[str]) -> None:
-        known, made, new = self.units, [], {".", ","}
+        known, plain = self.units, {}
+        tokenize = self.tok.model.tokenize
         for u in units:
-            if u[-1] in ".," and u[:-1].lstrip(" ").isalpha():  # a letter ends a piece before a mark
-                made.append(u)
-                new.add(u[:-1])
+            word, space = (u[1:], "") if u[0] == BARE else (u, SPACE_LETTER)
+            if len(u) <= 256 and word.isalpha():  # one piece
+                known[u] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(space + as_letters(word))])
             else:
-                new.add(u)
-        new.difference_update(known)
-        short = [u for u in new if len(u) <= 256]
+                plain[u] = " " + word if space else word
+        short = [u for u in plain if len(u) <= 256]
         if short:
-            e = self.tok.encode(short, is_pretokenized=True, add_special_tokens=False)
+            e = self.tok.encode([plain[u] for u in short], is_pretokenized=True, add_special_tokens=False)
             ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(short) + 1)) * 4
             ids, start = np.array(e.ids, "<u4").tobytes(), 0
             for u, end in zip(short, ends.tolist(), strict=True):
                 known[u] = ids[start:end]
                 start = end
-        for u in new:
+        for u in plain:
             if len(u) > 256:
-                known[u] = self.whole(u)
-        for u in made:
-            known[u] = known[u[:-1]] + known[u[-1]]
+                known[u] = self.whole(plain[u])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [UNIT.findall(t) if t and not ODD_SPACE.search(t) and not any(s in t for s in self.special) else None for t in texts]
-        needed = set().union(*(s for s in split if s))
-        new = needed.difference(self.units)
-        if len(self.units) + 2 * len(new) > CACHED:
-            self.units.clear()
-            new = needed
+        split = list(map(self.units_of, texts))
+        if len(self.units) > CACHED:  # what is in use moves to the new table
+            self.older, self.units = self.units, {}
+        new: set[str] = set()
+        for words in split:
+            if words:
+                new.update(set(words).difference(self.units))
+        again = {u: self.older[u] for u in new if u in self.older}
+        self.units.update(again)
+        new.difference_update(again)
         if new:
             self.learn(new)
+        self.held[:] = self.units, self.older
         out = [b"".join(map(self.units.__getitem__, s)) if s else self.whole(t) if t else b"" for s, t in zip(split, texts, strict=True)]
         for u in [u for u in new if len(u) > 256]:
             del self.units[u]
