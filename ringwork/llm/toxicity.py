@@ -23,7 +23,7 @@ BITS = 17  # of a feature's hash
 CACHED = 400_000  # words remembered by a worker
 MARKS = re.compile(r"[^\w]+")
 PREFIXES = (4, 5, 6)  # characters of a word's beginnings that count as features
-MAX_POSITIVES, MAX_UNLABELLED = 3000, 8000  # bounds of what the driver trains on
+MAX_POSITIVES, MAX_UNLABELLED = 2000, 4000  # bounds of what the driver trains on
 APART = 4.0  # standard errors by which a feature's share of the positives differs from that of the unlabelled, to be used
 STEPS, RATE, DECAY = 200, 0.6, 1e-5
 
@@ -83,7 +83,14 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
         return Model({}, -5.0)
     prior = min(prior, 0.9)
     n, m = len(positive), len(unlabelled)
-    rows, ids, values = counted([*positive, *unlabelled], {}, feature_ids)
+    parts, held = [], {}
+    for at in range(0, n + m, 128):  # in pieces, to bound the memory
+        some = [positive[k] if k < n else unlabelled[k - n] for k in range(at, min(at + 128, n + m))]
+        r, i, v = counted(some, held, feature_ids)
+        parts.append(((r + at).astype(np.int32), i.astype(np.int32), v.astype(np.float32)))
+    del held
+    rows, ids, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     seen = np.bincount(ids, minlength=dim)
     among = np.bincount(ids[rows < n], minlength=dim)
     share = np.clip(seen / (n + m), 1e-9, 1 - 1e-9)
@@ -95,8 +102,8 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
     place[used] = np.arange(len(used))
     scale = np.log((n + m) / seen[used]).astype(np.float32)  # rare features count more
     keep = place[ids] >= 0
-    rows, ids = rows[keep], place[ids[keep]]
-    values = values[keep] * scale[ids]
+    rows, ids, values = rows[keep], place[ids[keep]], values[keep]
+    values = values * scale[ids]
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
