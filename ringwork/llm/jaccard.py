@@ -2,7 +2,7 @@
 
 A set is represented by COORDINATES minimum hashes; two sets agree in each with the probability of their Jaccard similarity. A run puts sets that agree in the run's coordinate
 into one bucket. A bucket of at most BUCKET sets is compared by brute force; a larger one is split again, each set going on along BRANCHES coordinates
-sampled for that bucket, and so on for LEVELS levels. Runs are repeated until the chance that a pair at the threshold met in none is below 1 - RECALL. What is found
+sampled for that bucket, and so on for LEVELS levels; a part that keeps at least half of a large bucket is not split further, since its sets are alike. Runs are repeated until the chance that a pair at the threshold met in none is below 1 - RECALL. What is found
 are candidates; they are joined to groups, and within a group all sets are compared exactly, in blocks, without listing pairs.
 """
 
@@ -27,7 +27,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 COORDINATES = 64
 BUCKET = 256
-BRANCHES = 3
+BRANCHES = 2
 LEVELS = 3
 MARGIN = 0.2  # candidates agree in a share of coordinates down to so much below the threshold (four standard errors)
 BLOCK = 1500  # sets of a block in the exact comparison
@@ -152,22 +152,25 @@ def bucket_edges(rows: list[dict]) -> list[tuple[int, int]]:
 def candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b) between sets that may be alike; reps: set, sketch (written)."""
     runs = F.explode(F.sequence(F.lit(0), F.lit(runs_for(THRESHOLD, RECALL) - 1))).alias("r")
-    paths = reps.select("set", "sketch", runs).select("set", F.xxhash64("r", F.get("sketch", F.col("r"))).alias("p"))
+    paths = reps.select("set", "sketch", runs).select("set", F.xxhash64("r", F.get("sketch", F.col("r"))).alias("p"), F.lit(1 << 60).alias("of"))
     edges = None
     for level in range(LEVELS + 1):
-        sizes = paths.groupBy("p").agg(F.count("*").alias("n"), F.min("set").alias("first")).where("n > 1")
-        met = written(paths.join(written(sizes, "bucket-sizes"), "p"), "buckets")
+        sizes = paths.groupBy("p").agg(F.count("*").alias("n"), F.min("set").alias("first"), F.max("of").alias("of")).where("n > 1")
+        met = written(paths.drop("of").join(written(sizes, "bucket-sizes"), "p"), "buckets")
         small = met.where(F.col("n") <= BUCKET).join(reps, "set").select("p", "set", "sketch")
         found = grouped(small, "p", bucket_edges, "a long, b long")
-        edges = written(found if edges is None else edges.unionByName(found).distinct(), "candidates")
         large = met.where(F.col("n") > BUCKET)
+        # all sets of such a bucket agree along the whole path, or with most of the bucket before: candidates as they are
+        dense = F.lit(level == LEVELS) | (F.col("n") * 2 >= F.col("of"))
+        found = found.unionByName(large.where(dense & (F.col("set") != F.col("first"))).select(F.col("set").alias("a"), F.col("first").alias("b")))
+        edges = written(found if edges is None else edges.unionByName(found).distinct(), "candidates")
+        large = large.where(~dense)
         if large.isEmpty():
             return edges
-        if level == LEVELS:  # all their sets agree along the whole path: candidates as they are
-            return written(edges.unionByName(large.where("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b"))).distinct(), "candidates")
         onward = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))).alias("j")
         coordinate = F.get("sketch", F.pmod(F.xxhash64("p", "j", F.lit(level)), F.lit(COORDINATES)).cast("int"))
-        paths = large.join(reps, "set").select("set", "sketch", "p", onward).select("set", F.xxhash64("p", "j", coordinate).alias("p"))
+        paths = large.join(reps, "set").select("set", "sketch", "p", "n", onward).select("set", F.xxhash64("p", "j", coordinate).alias("p"), F.col("n").alias("of"))
+    return edges
 
 
 def common(sets_: list[np.ndarray]) -> np.ndarray:
