@@ -86,7 +86,7 @@ class Writer:
         frame = zstd.ZstdCompressor().compress(trained.as_bytes())
         where, name = opened(self.path)
         where.create_dir(name.rpartition("/")[0], recursive=True)
-        self.out = where.open_output_stream(name)
+        self.out = where.open_output_stream(name, compression=None)
         self.out.write(struct.pack("<II", SKIPPABLE, len(frame)) + frame)
         self.packer = zstd.ZstdCompressor(level=3, dict_data=trained, write_content_size=True, write_checksum=True)
         for data in self.held:
@@ -104,7 +104,7 @@ def frames(path: str) -> Iterator[bytes]:
     import zstandard as zstd
 
     where, name = opened(path)
-    with where.open_input_stream(name) as source:
+    with where.open_input_stream(name, compression=None) as source:
         head = source.read(8)
         if len(head) < 8 or struct.unpack("<II", head)[0] != SKIPPABLE:
             raise ArchiveError(f"{path}: no dictionary frame at its start")
