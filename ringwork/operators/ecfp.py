@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ringwork.functions.hashing import counts, fold, layered
 from ringwork.functions.invariants import with_adjacency, with_atom_invariants, with_bond_invariants, with_centers
 
-HELPERS = ("__adj", "__dox", "__inv", "__binv", "__nbh", "__live", "__seen", "__new", "__best")
+HELPERS = ("__adj", "__dox", "__inv", "__binv", "__nbh", "__live", "__seen", "__new", "__best", "__atoms")
 
 
 def taken_in(layer: int):
@@ -52,14 +52,16 @@ def with_layers(df: DataFrame, radius: int, mol: str = "mol", use_bond_types: bo
     for k in range(radius):
 
         df = df.withColumn("__new", F.transform("__adj", taken_in(k)))
-        better = lambda x: F.exists("__new", lambda y: (y["nbh"] == x["nbh"]) & ((y["inv"] < x["inv"]) | ((y["inv"] == x["inv"]) & (y["atom"] < x["atom"]))))
-        first = lambda x: x.isNotNull() & ~F.coalesce(better(x), F.lit(False)) & ~F.array_contains("__seen", x["nbh"])
-        df = df.withColumn("__best", F.filter("__new", first))
+        # of equal bond sets the first in order wins: sorted by set, invariant and place, each set's first row stands behind another set's
+        df = df.withColumn("__best", F.array_sort(F.filter("__new", lambda x: x.isNotNull())))
+        first = lambda x, i: ((i == 0) | (F.get("__best", i - 1)["nbh"] != x["nbh"])) & ~F.array_contains("__seen", x["nbh"])
+        df = df.withColumn("__best", F.filter("__best", first))
+        df = df.withColumn("__atoms", F.transform("__best", lambda x: x["atom"]))
         df = df.withColumns(
             {
                 f"__layer{k + 1}": F.transform("__best", lambda x: x["inv"]),
                 "__seen": F.concat("__seen", F.transform("__best", lambda x: x["nbh"])),
-                "__live": F.transform("__new", lambda x: F.coalesce(F.exists("__best", lambda y: y["atom"] == x["atom"]), F.lit(False))),
+                "__live": F.transform("__new", lambda _, i: F.array_contains("__atoms", i)),
                 "__nbh": F.zip_with("__nbh", "__new", lambda old, x: F.coalesce(x["nbh"], old)),
                 "__inv": F.transform("__new", lambda x: F.coalesce(x["inv"], F.lit(0).cast("bigint"))),
             }

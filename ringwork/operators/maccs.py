@@ -138,7 +138,7 @@ class MaccsFingerprint:
                         if row is None:
                             found.append(None)
                             continue
-                        key = repr(row)
+                        key = tuple((a["z"], a["charge"], a["aromatic"], a["h_explicit"] + a["h_implicit"], a["in_ring"], a["comp"]) for a in row["atoms"]), tuple((b["a"], b["b"], b["kind"], b["in_ring"]) for b in row["bonds"]), str(row["rings"])
                         if key not in held:
                             if len(held) >= CACHED:
                                 held.clear()
