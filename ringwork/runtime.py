@@ -50,3 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove the tables that operators have written to the shared folder; results that are not yet computed need them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "ringwork-*")) or ():
+        fs.delete(found.getPath(), True)
