@@ -209,6 +209,9 @@ ORACLES: dict[str, str] = {
     "mol_degree": BASE + "SELECT mol_id, atom, CAST(degree AS INTEGER) AS degree, CAST(orders AS INTEGER) AS orders FROM atoms",
     "mol_components": BASE + """SELECT mol_id, CAST(count(*) AS INTEGER) AS n_atoms, CAST((SELECT count(*) FROM bonds b WHERE b.mol_id = a.mol_id) AS INTEGER) AS n_bonds,
   CAST((SELECT count(*) FROM po WHERE po.mol_id = a.mol_id AND frag IN (6, 7, 8)) AS INTEGER) AS n_rings, CAST(count(DISTINCT comp) AS INTEGER) AS n_fragments FROM atoms a GROUP BY mol_id""",
+    "mol_accessors": BASE + """SELECT mol_id, CAST(count(*) AS INTEGER) AS n_atoms, false AS empty, coalesce(max(degree) > 0, false) AS has_edges, CAST(sum(degree) AS INTEGER) AS n_entries, CAST(max(CASE WHEN atom = 0 THEN z END) AS INTEGER) AS first_z, CAST(NULL AS INTEGER) AS outside_z,
+  CAST(coalesce(max(CASE WHEN atom = 1 THEN degree END), 0) AS INTEGER) AS n_at_second, CAST(coalesce((SELECT sum(other) FROM dir d WHERE d.mol_id = a.mol_id AND d.atom = 1), 0) AS INTEGER) AS sum_at_second, CAST(sum(degree) AS INTEGER) AS n_neighbours FROM atoms a GROUP BY mol_id""",
+    "mol_directed": BASE + "SELECT mol_id, atom, other, kind FROM dir",
     "hash_atom_invariant": BASE + f"SELECT mol_id, atom, CAST({invariant(True)} AS BIGINT) AS inv FROM inv",
     "hash_atom_invariant_no_ring": BASE + f"SELECT mol_id, atom, CAST({invariant(False)} AS BIGINT) AS inv FROM inv",
     "bond_invariant": BASE + f"SELECT d.mol_id, d.atom AS a, d.other AS b, {bond_value(True)} AS inv FROM dir d {ENDS} WHERE d.atom < d.other",

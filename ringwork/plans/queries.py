@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringwork.functions.invariants import with_adjacency, with_atom_codes, with_atom_invariants, with_bond_invariants, with_centers, with_pi_electrons
-from ringwork.operators import values
+from ringwork.operators import graph, values
 from ringwork.operators.atom_pair import AtomPairFingerprint, with_distances, with_pairs
 from ringwork.operators.ecfp import CountEcfpFingerprint, EcfpFingerprint, LayeredCountEcfpFingerprint
 from ringwork.operators.maccs import MaccsFingerprint, aromatic_ring_count, atom_keys, fragment_count
@@ -135,6 +135,28 @@ def keys_among(keys: tuple[int, ...]) -> Query:
     return query
 
 
+def mol_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = graph.with_neighbours(prepared(spark, sf_dir))
+    mol = F.col("mol")
+    at_second = graph.bonds(mol, 1)
+    return df.select(
+        "mol_id",
+        graph.atom_count(mol).alias("n_atoms"),
+        graph.is_empty_molecule(mol).alias("empty"),
+        graph.has_edges(mol).alias("has_edges"),
+        graph.edge_entries(mol).alias("n_entries"),
+        graph.atom(mol, 0)["z"].alias("first_z"),
+        graph.atom(mol, 999)["z"].alias("outside_z"),
+        F.size(at_second).alias("n_at_second"),
+        F.aggregate(at_second, F.lit(0), lambda n, b: n + graph.other_node(b, 1)).alias("sum_at_second"),
+        F.aggregate("neighbours", F.lit(0), lambda n, x: n + F.size(x)).alias("n_neighbours"),
+    )
+
+
+def mol_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.directed_table(prepared(spark, sf_dir)).drop("edge")
+
+
 def maccs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded_bits(MaccsFingerprint().compute(prepared(spark, sf_dir)))
 
@@ -198,6 +220,8 @@ QUERIES: dict[str, Query] = {
     "mol_bonds": mol_bonds,
     "mol_degree": mol_degree,
     "mol_components": mol_components,
+    "mol_accessors": mol_accessors,
+    "mol_directed": mol_directed,
     "hash_atom_invariant": atom_invariant(True),
     "hash_atom_invariant_no_ring": atom_invariant(False),
     "bond_invariant": bond_invariant(True),

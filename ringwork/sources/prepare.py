@@ -85,6 +85,11 @@ def prepare(df: DataFrame, smiles: str = "smiles", mode: str = "PERMISSIVE", nor
     return out.where(F.col(mol).isNotNull()) if mode == "DROPMALFORMED" else out
 
 
+def try_prepare(df: DataFrame, smiles: str = "smiles", **options) -> DataFrame:
+    """prepare() that keeps what can't be prepared, with its error."""
+    return prepare(df, smiles, "PERMISSIVE", **options)
+
+
 def explicit_h(mol: Column) -> Column:
     """The molecule with an atom and a single bond for each hydrogen, and no hydrogen counts."""
     atoms, bonds = mol["atoms"], mol["bonds"]
