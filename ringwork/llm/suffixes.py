@@ -20,10 +20,11 @@ from ringwork.llm.spans import merged
 from ringwork.runtime import written
 
 LENGTH = 200
-GRAM = 16
-GROUP = 8192  # different contexts of an anchor that one suffix array takes; larger groups are split
+GRAM = 64
+GROUP = 16384  # different contexts of an anchor that one suffix array takes; larger groups are split
 ARRAY_BYTES = 1 << 20  # contexts are gathered up to about this size for a suffix array
 STEP = 8  # bytes before an anchor by which a large group is split
+WIDE = np.random.RandomState(8).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TABLE = np.random.RandomState(7).randint(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -54,50 +55,58 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return found[np.flatnonzero(np.diff(found, prepend=-1))]  # they never go back
 
 
-def ranks(data: np.ndarray, limit: int) -> list[np.ndarray]:
-    """ranks[l][i]: order of the 2**(l+3) values from i on among all such; the last list is that of a suffix array up to `limit` values."""
-    n = len(data)
-    packed = np.zeros(n, np.uint64)
-    padded = np.concatenate([data.astype(np.uint64), np.zeros(8, np.uint64)])
-    for k in range(8):  # the values are below 256; separators are dealt with by the caller
-        packed = (packed << np.uint64(8)) | padded[k : k + n]
-    out, size = [], 8
-    _, rank = np.unique(packed, return_inverse=True)
-    out.append(rank.astype(np.int32))
-    while size < limit:
-        rank = out[-1]
-        second = np.concatenate([rank[size:], np.full(min(size, n), -1, np.int32)]).astype(np.int64) + 1
-        _, rank = np.unique(rank.astype(np.int64) * (n + 1) + second, return_inverse=True)
-        out.append(rank.astype(np.int32))
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of the strings of `length` bytes from each place on, put together from those of powers of two."""
+    n = len(data) - length + 1
+    h, size, out, done = WIDE[data], 1, None, 0
+    while size <= length:
+        if length & size:
+            part = h[done : done + n]
+            out = part.copy() if out is None else out * np.uint64(0x9E3779B97F4A7C15 + 2 * size) + (part ^ (part >> np.uint64(29)))
+            done += size
+        if 2 * size <= length:
+            h = h[:-size] * np.uint64(0xD1342543DE82EF95 + 2 * size) + (h[size:] ^ (h[size:] >> np.uint64(31)))
         size *= 2
     return out
 
 
-def suffix_array(texts: list[bytes], least: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffixes in order, lengths of their common prefix with the one before, places where texts begin).
+def shared(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    return n - -(-(int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")).bit_length() // 8)
 
-    Texts are joined with a byte between that UTF-8 doesn't have; a common prefix ends before a text's end. Only suffixes of at least `least` bytes are listed.
+
+def suffix_array(texts: list[bytes], places: list[tuple[int, int]], least: int) -> Iterator[tuple[list[int], list[int], list[int], list[int], list[int]]]:
+    """The parts of the texts' suffix array in which a maximal repeat of `least` bytes can begin: for each, (text, offset, length of the common prefix with the
+    one before, byte before, place) of its suffixes in order.
+
+    A part holds the suffixes that begin with the same `least` bytes. Parts with one suffix, with one place in the corpus, or with one and the same byte before all suffixes
+    (whose repeats are parts of longer ones) are left out before anything is sorted. Common prefixes end with their texts.
     """
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-    levels = ranks(data, limit)
-    room = np.repeat(begin[1:] - 1, np.diff(begin)) - np.arange(len(data))  # bytes to the text's end
-    order = np.argsort(levels[-1], kind="stable")
-    order = order[room[order] >= least]
-    a, b = order[:-1], order[1:]
-    common = np.zeros(len(a), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = a + common, b + common
-        inside = (x < len(data)) & (y < len(data))
-        same = np.zeros(len(a), bool)
-        same[inside] = levels[k][x[inside]] == levels[k][y[inside]]
-        common[same] += 8 << k
-    # what is left is less than 8 bytes, of which the last level's equality says nothing
-    for _ in range(7):
-        x, y = np.minimum(a + common, len(data) - 1), np.minimum(b + common, len(data) - 1)
-        common[(data[x] == data[y]) & (common < limit)] += 1
-    common = np.minimum(common, np.minimum(room[a], room[b]))
-    return order, np.concatenate([[0], common]), begin
+    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # a byte that UTF-8 doesn't have
+    if len(data) < least:
+        return
+    at = np.flatnonzero((np.repeat(begin[1:] - 1, np.diff(begin)) - np.arange(len(data)))[: len(data) - least + 1] >= least)
+    if len(at) < 2:
+        return
+    keys = window_hashes(data, least)[at]
+    order = np.argsort(keys, kind="stable")
+    at, keys = at[order], keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    text = np.searchsorted(begin, at, side="right") - 1
+    offset = at - begin[text]
+    before = np.where(offset > 0, data[at - 1].astype(np.int64), -1)
+    where = np.array(places, np.int64).reshape(-1, 2)
+    place = (where[text, 0] << 32) + where[text, 1] + offset
+    low = np.minimum.reduceat(before, first)
+    several = (low != np.maximum.reduceat(before, first)) | (low == -1)
+    several &= np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
+    ends = np.append(first[1:], len(at))
+    for a, b in zip(first[several].tolist(), ends[several].tolist(), strict=True):
+        rest = sorted((texts[t][o + least :], t, o, x, p) for t, o, x, p in zip(text[a:b].tolist(), offset[a:b].tolist(), before[a:b].tolist(), place[a:b].tolist(), strict=True))
+        common = [0, *(least + shared(x[0], y[0]) for x, y in zip(rest, rest[1:], strict=False))]
+        yield [r[1] for r in rest], [r[2] for r in rest], common, [r[3] for r in rest], [r[4] for r in rest]
 
 
 def intervals(common: list[int], before: list[int], place: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -127,45 +136,55 @@ def intervals(common: list[int], before: list[int], place: list[int], least: int
     return out
 
 
-def repeats(texts: list[bytes], places: list[tuple[int, int]], least: int = LENGTH, limit: int = 2 * LENGTH) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, occurrences) of the maximal repeats of the texts; occurrences: rows of (text, offset).
+def repeats(texts: list[bytes], places: list[tuple[int, int]], least: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, occurrences) of the maximal repeats of the texts; occurrences: (text, offset).
 
     places: (document, offset) of each text, so that parts of a document that lie in two texts don't count as repeats of each other.
     """
-    order, common, begin = suffix_array(texts, least, limit)
-    if len(order) < 2:
-        return
-    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-    text = np.searchsorted(begin, order, side="right") - 1
-    offset = order - begin[text]
-    before = np.where(offset > 0, data[order - 1].astype(np.int64), -1)
-    where = np.array(places, np.int64).reshape(-1, 2)
-    place = (where[text, 0] << 40) + where[text, 1] + offset
-    alike = common >= least
-    # runs of suffixes that have `least` bytes in common with a neighbour
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], alike, [False]]).astype(np.int8)))
-    for a, b in zip(edges[::2] - 1, edges[1::2], strict=True):
-        for size, first, last in intervals([0, *common[a + 1 : b].tolist()], before[a:b].tolist(), place[a:b].tolist(), least):
-            some = slice(a + first, a + last + 1)
-            yield size, np.stack([text[some], offset[some]], axis=1)
+    for text, offset, common, before, place in suffix_array(texts, places, least):
+        for size, first, last in intervals(common, before, place, least):
+            yield size, list(zip(text[first : last + 1], offset[first : last + 1], strict=True))
 
 
-def covered_parts(texts: list[bytes], places: list[tuple[int, int]], least: int = LENGTH, limit: int = 2 * LENGTH) -> list[tuple[int, int, int]]:
+def may_repeat(texts: list[bytes], offs: list[int], least: int = LENGTH) -> list[int]:
+    """Those of the contexts of one anchor that could hold `least` bytes around it in common with another: by the longest beginnings in common after and before the anchor."""
+    reach = [0] * len(texts)
+    for side in ([t[o:] for t, o in zip(texts, offs, strict=True)], [t[:o][::-1] for t, o in zip(texts, offs, strict=True)]):
+        order = sorted(range(len(texts)), key=side.__getitem__)
+        near = [0] * len(texts)
+        for i, j in zip(order, order[1:], strict=False):
+            n = shared(side[i], side[j])
+            near[i], near[j] = max(near[i], n), max(near[j], n)
+        reach = [r + x for r, x in zip(reach, near, strict=True)]
+    return [k for k, r in enumerate(reach) if r >= least]
+
+
+def covered_parts(texts: list[bytes], places: list[tuple[int, int]], least: int = LENGTH) -> list[tuple[int, int, int]]:
     """(text, start, end) of the maximal parts of the texts that repeats cover."""
-    change = [np.zeros(len(t) + 1, np.int32) for t in texts]
-    longest: dict[tuple[int, int], int] = {}
-    for size, found in repeats(texts, places, least, limit):
-        for t, o in found.tolist():
-            if longest.get((t, o), 0) < size:
-                longest[t, o] = size
-    for (t, o), size in longest.items():
-        change[t][o] += 1
-        change[t][o + size] -= 1
+    longest: dict[int, list[tuple[int, int]]] = {}
+    for text, offset, common, before, place in suffix_array(texts, places, least):
+        # of the repeats that begin at a suffix only the longest matters; inner intervals come before outer ones
+        onward = list(range(len(text) + 1))
+        for size, first, last in intervals(common, before, place, least):
+            i = first
+            while i <= last:
+                if onward[i] == i:
+                    longest.setdefault(text[i], []).append((offset[i], offset[i] + size))
+                    onward[i] = last + 1
+                    i += 1
+                else:
+                    onward[i], i = max(onward[i], last + 1), onward[i]
     out = []
-    for t in {t for t, _ in longest}:
-        on = np.concatenate([[False], np.cumsum(change[t]) > 0]).astype(np.int8)
-        edge = np.flatnonzero(np.diff(on))
-        out += [(t, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    for t, spans in longest.items():
+        spans.sort()
+        start, end = spans[0]
+        for s, e in spans[1:]:
+            if s > end:
+                out.append((t, start, end))
+                start, end = s, e
+            else:
+                end = max(end, e)
+        out.append((t, start, end))
     return out
 
 
@@ -254,30 +273,42 @@ def arrayed(groups: DataFrame) -> DataFrame:
     kind = groups.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # contexts for the next suffix array
+        group: list[tuple] = []  # the anchor's that is being read
         size = 0
 
-        def solve(rows: list[tuple], schema) -> pa.RecordBatch | None:
+        def solve(schema) -> pa.RecordBatch | None:
             names: dict[tuple, int] = {}
-            places = [(names.setdefault((r[2], r[3]), len(names)), r[4]) for r in rows]
-            found = [(rows[t], s, e) for t, s, e in covered_parts([r[7] for r in rows], places) if rows[t][1] == 1]
+            places = [(names.setdefault((r[2], r[3]), len(names)), r[4]) for r in held]
+            found = [(held[t], s, e) for t, s, e in covered_parts([r[7] for r in held], places) if held[t][1] == 1]
+            held.clear()
             if not found:
                 return None
             ids = pa.array([r[2] for r, _, _ in found], schema.field("__id").type)
             hashes = pa.array([r[3] for r, _, _ in found], pa.int64())
             return pa.RecordBatch.from_arrays([ids, hashes, pa.array([r[4] + s for r, s, _ in found], pa.int32()), pa.array([r[4] + e for r, _, e in found], pa.int32())], names=["__id", "__hash", "s", "e"])
 
+        def take() -> int:
+            some = [group[k] for k in may_repeat([r[7] for r in group], [r[6] for r in group])]
+            held.extend(some)
+            group.clear()
+            return sum(len(r[7]) for r in some)
+
         schema = None
-        for b in batches:
-            schema = b.schema
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= ARRAY_BYTES and r[0] != held[-1][0]:
-                    if (out := solve(held, schema)) is not None:
-                        yield out
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[7])
-        if held and (out := solve(held, schema)) is not None:
+        for whole in batches:
+            schema = whole.schema
+            for at in range(0, whole.num_rows, 1000):
+                for r in zip(*(c.to_pylist() for c in whole.slice(at, 1000).columns), strict=True):
+                    if group and r[0] != group[0][0]:
+                        size += take()
+                        if size >= ARRAY_BYTES:
+                            size = 0
+                            if (out := solve(schema)) is not None:
+                                yield out
+                    group.append(r)
+        if group:
+            take()
+        if held and (out := solve(schema)) is not None:
             yield out
 
     return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, f"__id {kind}, __hash long, s int, e int")
