@@ -24,6 +24,7 @@ LEAF = 1024  # bytes of unsplit text that the library encodes in one call
 WINDOW = 32  # bytes of the first window on each side of a join
 CACHED = 600_000  # units remembered by a worker, beside as many older ones
 ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the tokenizers
+MARKS = re.compile(r"(?<=[^\W_])(?:[^\w\s']|_)+(?=[ \n]|\Z)")  # after a letter or digit, and before space
 SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
@@ -158,10 +159,10 @@ class Encoder:
         return out
 
     def units_of(self, text: str | None) -> list[str]:
-        """The units of a text; lowered, and with full stops and commas apart, where that is certain to change no id.
+        """The units of a text; lowered, and with marks apart, where that is certain to change no id.
 
-        Lowering is where each letter is lowered by itself and none takes a mark from its neighbour. Setting a mark apart is where a letter or digit stands
-        before each and space or the end behind it: pieces end there anyway.
+        Lowering is where each letter is lowered by itself and none takes a mark from its neighbour. Setting marks apart is where a letter or digit stands
+        before them and space or the end behind: pieces end there anyway.
         """
         if not text:
             return []
@@ -169,10 +170,12 @@ class Encoder:
             return [u for u in SPACE.split(text) if u]
         if not self.plain:
             return text.split()
-        if is_latin(text):
-            text = text.lower()
+        if is_latin(text) and not any(x in (lowered := text.lower()) for x in self.special):
+            text = lowered
             if marks_close(text):
                 text = text.replace(".", " .").replace(",", " ,")
+            else:
+                text = MARKS.sub(r" \g<0>", text)
         return text.split()
 
     def learn(self, units: set[str]) -> None:

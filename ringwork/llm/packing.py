@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from ringwork.llm.bpe import LETTERS, ODD_SPACE, as_letters, marks_close, tokenizer
+from ringwork.llm.bpe import LETTERS, MARKS, ODD_SPACE, as_letters, marks_close, tokenizer
 
 WINDOWS = 96  # windows divided together
 REST = 256  # longest piece of a document's rest
@@ -50,7 +50,7 @@ class ByteEncoder:
     def units_of(self, text: str | None) -> list[str] | None:
         """The units of a text: words that a space stands before, and after BARE what none stands before; None if it can't be cut so.
 
-        Full stops and commas are set apart where a letter or digit stands before each and space behind it: pieces end there.
+        Marks are set apart where a letter or digit stands before them and space behind: pieces end there.
         """
         if not text or any(c in text for c in ODD_SPACE) or BARE in text or any(s in text for s in self.special):
             return None
@@ -58,6 +58,8 @@ class ByteEncoder:
             return [u[1:] if u[0] == " " and len(u) > 1 else BARE + u for u in UNIT.findall(text)]
         if marks_close(text):
             text = text.replace(".", f" {BARE}.").replace(",", f" {BARE},")
+        else:
+            text = MARKS.sub(rf" {BARE}\g<0>", text)
         return (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" ")
 
     def learn(self, units: set[str]) -> None:

@@ -18,7 +18,7 @@ def mixed(rng):
     s = "".join(rng.choice(rng.choice(ALPHABETS)) if rng.random() < 0.1 else rng.choice(ALPHABETS[rng.randrange(len(ALPHABETS))]) for _ in range(rng.randint(0, 40)))
     a = rng.choice(ALPHABETS)
     s += "".join(rng.choice(a) for _ in range(rng.choice([5, 50, 1500])))
-    return s[:20] + rng.choice(["", "<|endoftext|>", "<|startoftext|>", "  ", "\n"]) + s[20:]
+    return s[:20] + rng.choice(["", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "  ", "\n"]) + s[20:]
 
 
 @pytest.mark.parametrize("leaf", [8, 64, 1024])
