@@ -30,9 +30,9 @@ BUCKET = 256
 BRANCHES = 2
 LEVELS = 3
 MARGIN = 0.2  # candidates agree in a share of coordinates down to so much below the threshold (four standard errors)
-BLOCK = 1500  # sets of a block in the exact comparison
+BLOCK = 500  # sets of a block in the exact comparison
 DENSE = 48  # shingles in at least so many sets of a block are multiplied as a matrix
-CACHED = 500_000
+CACHED = 100_000  # words remembered during a task
 WORD = re.compile(r"\w+")
 FACTORS = np.random.RandomState(11).randint(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = np.random.RandomState(12).randint(0, 1 << 62, COORDINATES, dtype=np.uint64)
@@ -65,6 +65,11 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def forget() -> None:
+    """Give back the memory of the words of a task."""
+    sys.modules[__name__].__dict__.pop("_words", None)
+
+
 def sketch(found: np.ndarray) -> np.ndarray:
     """Minimum hashes of a set, 32 bits each."""
     out = np.full(COORDINATES, 0xFFFFFFFF, np.uint64)
@@ -88,6 +93,7 @@ def sets(rows: DataFrame) -> DataFrame:
                     sketches.append(sketch(found) if len(found) else np.empty(0, np.int32))
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketches)], dtype=np.int32)), pa.array(np.concatenate(sketches)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), flat], names=["__id", "__hash", "set", "sketch"])
+        forget()
 
     kind = rows.schema["__id"].dataType.simpleString()
     return rows.mapInArrow(run, f"__id {kind}, __hash long, set long, sketch array<int>")
@@ -120,8 +126,8 @@ def grouped(df: DataFrame, key: str, solve, schema: str) -> DataFrame:
 
         names = [x.split()[0] for x in schema.split(",")]
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                for row in whole.slice(at, 2000).to_pylist():
+            for at in range(0, whole.num_rows, 500):
+                for row in whole.slice(at, 500).to_pylist():
                     if held and row[key] != held[0][key]:
                         out += solve(held)
                         held = []
@@ -132,6 +138,7 @@ def grouped(df: DataFrame, key: str, solve, schema: str) -> DataFrame:
             out += solve(held)
         if out:
             yield made()
+        forget()
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
