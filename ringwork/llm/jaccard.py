@@ -223,10 +223,10 @@ def exact_links(rows: list[dict]) -> list[tuple[int, int, int]]:
     return [(rows[i]["set"], int(links[i]), rows[int(root[i])]["set"]) for i in np.flatnonzero(links > 0).tolist()]
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id (the smallest key of its class) and n_links (documents at least THRESHOLD like it) of each row of docs.
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """__id, __hash, class (hash; null: no words), class_id (the smallest key of its class) and n_links (documents at least THRESHOLD like it) of each row of docs.
 
-    Classes are the components of the links. Documents with equal sets of shingles are linked as copies. A document without words (null or empty text) is a class of its own
+    Classes are the components of the links; different ones may have the same smallest key, where keys tie. Documents with equal sets of shingles are linked as copies. A document without words (null or empty text) is a class of its own
     without links; if its key is null so is class_id. Rows of equal key and equal text count as copies. Null keys come last in a class. Other columns are left
     aside; an empty table gives no rows.
     """
@@ -245,11 +245,32 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     pairs = texts.dropDuplicates(["set"]).select("set", "n", "__z", "label", "block", other)
     pairs = pairs.select("set", "n", "__z", F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     exact = written(grouped(pairs, "pair", exact_links, "set long, links long, root long"), "links")
-    classes = components(exact.select(F.col("set").alias("a"), F.col("root").alias("b")))
+    parts = components(exact.select(F.col("set").alias("a"), F.col("root").alias("b")))
     links = exact.groupBy("set").agg(F.sum("links").alias("links"))
-    known = reps.select("set", "n", "least").join(links, "set", "left").join(classes.withColumnRenamed("node", "set"), "set", "left").where("n > 1 or links > 0")
+    known = reps.select("set", "n", "least").join(links, "set", "left").join(parts.withColumnRenamed("node", "set"), "set", "left").where("n > 1 or links > 0")
     known = written(known.select("set", F.coalesce("label", "set").alias("label"), "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "known")
     least = written(known.groupBy("label").agg(F.min("least").alias("class_id")), "class-ids")
-    known = written(known.join(least, "label").select("set", "class_id", "n_links"), "known")
-    out = found.select("__id", "set").join(known, "set", "left")
-    return out.select(F.col("__id").alias(key), F.coalesce("class_id", "__id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = written(known.join(least, "label").select("set", "label", "class_id", "n_links"), "known")
+    out = found.select("__id", "__hash", "set").join(known, "set", "left")
+    return out.select("__id", "__hash", F.coalesce("label", "set").alias("class"), F.coalesce("class_id", "__id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class_id and n_links of classes()."""
+    return classes(docs, key, text).select(F.col("__id").alias(key), "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of docs: of the smallest key, of equal keys the smallest text hash, of equal keys and texts any one.
+
+    Rows without words are classes of their own, but of those with equal key and equal text one stays too. Copies are left out before they are shuffled.
+    """
+    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
+    found = classes(docs, key, text)
+    kept = found.where("class is not null").groupBy("class").agg(F.min(order).alias("m")).select("m.__id", "m.__hash")
+    kept = kept.unionByName(found.where("class is null").select("__id", "__hash").distinct())
+    data = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
+    kept = kept.select(F.struct("__id", "__hash").alias("__doc"))
+    doc = F.struct(F.col(f"`{key}`").alias("__id"), F.xxhash64(data).alias("__hash")).cast(kept.schema["__doc"].dataType)
+    # each is kept once; a semi join would be moved before the copies are left out, and shuffle the texts twice
+    return docs.withColumn("__doc", doc).dropDuplicates(["__doc"]).join(kept, "__doc").select(*[f"`{c}`" for c in docs.columns])

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwork.llm.spans import merged
@@ -314,6 +314,12 @@ def arrayed(groups: DataFrame) -> DataFrame:
     return groups.repartition("g").sortWithinPartitions("g").mapInArrow(run, f"__id {kind}, __hash long, s int, e int")
 
 
+def several(at: str) -> Column:
+    """Aggregate: whether occurrences are at more than one place; those of rows of equal key and equal text are at the same."""
+    place = F.xxhash64("__id", "__hash", at)
+    return F.min(place) != F.max(place)
+
+
 def split_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Groups of at most GROUP contexts, and the spans found while larger ones were split (None: none was larger).
 
@@ -332,7 +338,7 @@ def split_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         reach = F.explode(F.sequence(F.lit(level * STEP), F.lit(level * STEP + STEP - 1))).alias("x")
         strings = large.select("*", reach).where("off >= x").withColumn("w", F.expr(f"substring(ctx, off - x + 1, {LENGTH})")).where(F.length("w") == LENGTH)
         strings = strings.select("g", "x", F.xxhash64("w").alias("h"), F.hash("w").alias("k"), "n", "__id", "__hash", (F.col("lo") + F.col("off") - F.col("x")).alias("s"))
-        again = strings.groupBy("g", "x", "h", "k").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+        again = strings.groupBy("g", "x", "h", "k").agg(several("s").alias("m")).where("m").drop("m")
         found = strings.join(written(again, "strings"), ["g", "x", "h", "k"]).where("n = 1")
         spans = union(spans, written(found.select("__id", "__hash", "s", (F.col("s") + LENGTH).alias("e")), "spans"))
         near = F.expr(f"substring(ctx, off - {level * STEP + STEP} + 1, {STEP})")
@@ -347,7 +353,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     again = written(again.select("a", (F.col("c1") != F.col("c2")).alias("differ")), "anchors")
     found = written(rows.join(again, "a"), "occurrences")  # anchors of strings that may come again, and no others
     first = [F.first(c).alias(c) for c in ("__id", "__hash", "lo", "hi", "off")]
-    kinds = written(found.groupBy("a", "c").agg(F.count("*").alias("n"), F.first("differ").alias("differ"), *first), "contexts")
+    kinds = written(found.groupBy("a", "c").agg(F.when(several("lo"), F.count("*")).otherwise(1).alias("n"), F.first("differ").alias("differ"), *first), "contexts")
     equal = found.join(kinds.where("n > 1").select("a", "c"), ["a", "c"]).where(F.col("hi") - F.col("lo") >= LENGTH)
     spans = equal.select("__id", "__hash", F.col("lo").alias("s"), F.col("hi").alias("e"))
     reps = kinds.where("differ").select(F.col("a").alias("g"), "n", "__id", "__hash", "lo", "hi", "off")

@@ -92,6 +92,29 @@ def test_stages(spark, tmp_path):
         before = after
 
 
+def test_one_row_of_each_class_where_keys_tie(spark):
+    rng = np.random.default_rng(4)
+    text = lambda n=120: " ".join(f"w{i}" for i in rng.integers(0, 9000, n))
+    a, b, c, d = (text() for _ in range(4))
+    rows = 3 * [(1, a)] + [(1, a + " more"), (2, a)]  # repeated rows; a near copy of the same key, and a copy
+    rows += [(7, b), (7, c), (7, c + " end"), (8, b)]  # one key of two classes
+    rows += [(None, d), (None, d), (9, d + " x"), (None, a)]
+    rows += [(3, ""), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((repr(r["doc_id"]), r["text"] or "") for r in corpus_pipeline.near_stage(spark, docs, SF).collect())
+    least = lambda x, y: {x, y} & {t for _, t in found}
+    assert len(least(a, a + " more")) == 1 and len(least(c, c + " end")) == 1
+    assert found == sorted([("1", *least(a, a + " more")), ("7", b), ("7", *least(c, c + " end")), ("9", d + " x"), ("3", ""), ("4", "")])
+
+
+def test_a_repeated_row_stays_through_both_stages(spark):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 9000, 120))
+    docs = spark.createDataFrame([(1, text, 0)] * 3 + [(2, "other", 0)], "doc_id long, text string, n_chars long")
+    near = corpus_pipeline.near_stage(spark, docs, SF)
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.repeats_stage(spark, near, SF).collect()) == [(1, text), (2, "other")]
+
+
 def test_awkward_rows_pass_every_stage(spark, tmp_path, docs):
     table = docs.select("doc_id", "text", "lang", docs["lang"].alias("source"), docs["n"].cast("long").alias("n_chars"), docs["__n"], docs["h"])
     for some in (table, table.where("false")):

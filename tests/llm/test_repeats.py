@@ -113,6 +113,21 @@ def test_bytes(group, docs, unique, nothing, monkeypatch):
     assert suffixes.remove_repeats(nothing).collect() == []
 
 
+@pytest.mark.parametrize("group", [16384, 1])
+def test_repeated_rows_are_one_document(group, spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng = random.Random(9)
+    alone, shared, *rest = ("".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(5))
+    texts = {0: alone, 1: shared + rest[0], 2: rest[1] + shared, 3: rest[2]}
+    rows = list(texts.items()) + 3 * [(0, alone)] + 2 * [(1, texts[1])] + 2 * [(None, rest[2][:100] + alone[:150])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = suffixes.remove_repeats(docs).collect()
+    assert len(out) == len(rows)
+    check_bytes([(r["doc_id"], r["n_bytes"], sum(s["e"] - s["s"] for s in r["spans"]), bytes(r["kept"])) for r in out], texts)
+    kept = suffixes.without_repeats(docs).where("doc_id = 0").collect()
+    assert [r["text"] for r in kept] == 4 * [alone]
+
+
 def test_texts_without_repeats(docs, unique):
     rows = suffixes.without_repeats(docs).collect()
     data = {r["doc_id"]: r["text"] for r in rows}
