@@ -29,7 +29,7 @@ COORDINATES = 64
 BUCKET = 256
 BRANCHES = 2
 LEVELS = 3
-MARGIN = 0.2  # candidates agree in a share of coordinates down to so much below the threshold (four standard errors)
+MARGIN = 0.25  # candidates agree in a share of coordinates down to so much below the threshold (five standard errors)
 BLOCK = 500  # sets of a block in the exact comparison
 DENSE = 48  # shingles in at least so many sets of a block are multiplied as a matrix
 CACHED = 100_000  # words remembered during a task
@@ -38,10 +38,16 @@ FACTORS = np.random.RandomState(11).randint(1, 1 << 62, COORDINATES, dtype=np.ui
 SHIFTS = np.random.RandomState(12).randint(0, 1 << 62, COORDINATES, dtype=np.uint64)
 
 
+def unlike(threshold: float) -> float:
+    """Probability that a pair at the threshold agrees in too few coordinates for a candidate, which is the same in all runs."""
+    least = math.ceil((threshold - MARGIN) * COORDINATES)
+    return sum(math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(least))
+
+
 def runs_for(threshold: float, recall: float, branches: int = BRANCHES, levels: int = LEVELS) -> int:
-    """Runs after which a pair at the threshold has met with the probability `recall`, whatever levels its buckets go through."""
+    """Runs after which a pair at the threshold has met and is a candidate with the probability `recall`, whatever levels its buckets go through."""
     met = threshold * (1 - (1 - threshold) ** branches) ** levels
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    return max(1, math.ceil(math.log(1 - recall - unlike(threshold)) / math.log(1 - met)))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:

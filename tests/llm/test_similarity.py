@@ -66,6 +66,22 @@ def test_runs():
     assert jaccard.runs_for(0.8, 0.99) < jaccard.runs_for(0.8, 0.9999) < jaccard.runs_for(0.5, 0.9999)
 
 
+def test_pairs_lost_by_sketches_are_counted():
+    """Not met in any run, or met and not a candidate: together below 1 - RECALL for a pair at the threshold, by sums of their own."""
+    rng = np.random.RandomState(3)
+    one = rng.randint(0, 1 << 31, jaccard.COORDINATES).astype(np.int32)
+    other = np.where(np.arange(jaccard.COORDINATES) < 36, one, one ^ 1)
+    found = jaccard.bucket_edges([{"set": 1, "sketch": one.tolist()}, {"set": 2, "sketch": other.tolist()}])
+    assert found == [(2, 1)]
+    chance = np.array([1.0])
+    for _ in range(jaccard.COORDINATES):
+        chance = np.convolve(chance, [0.2, 0.8])
+    runs = jaccard.runs_for(0.8, jaccard.RECALL)
+    met = 0.8 * (1 - 0.2**jaccard.BRANCHES) ** jaccard.LEVELS
+    least = next(k for k in range(jaccard.COORDINATES) if k >= (0.8 - jaccard.MARGIN) * jaccard.COORDINATES)
+    assert chance[:least].sum() + (1 - met) ** runs < 1 - jaccard.RECALL
+
+
 def test_common():
     rng = np.random.RandomState(0)
     sets = [np.unique(rng.randint(0, 400, rng.randint(1, 300)).astype(np.uint64)) for _ in range(70)]
