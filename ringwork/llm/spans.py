@@ -101,11 +101,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
     return replaced(docs, joined, text, kept, F.size("__lines"), report)
 
 
-def runs_of(text: str) -> list[tuple[int, int, str]]:
+def runs_of(text: str, window: int = 0) -> list[tuple[int, int, str]]:
     """(start, end, normal form) of the runs of sentences of a text, in code points.
 
     From each sentence on, and back from each, the shortest run of at least RUN_SENTENCES and RUN_WORDS; and each sentence of
-    LONG_SENTENCE words. The same run is given once. The normal form leaves out the space around sentences.
+    LONG_SENTENCE words; with `window` also every run of so many sentences with any word. The same run is given once. The normal form leaves out the space around sentences.
     """
     bounds = [m.span() for m in SENTENCE.finditer(text)]
     words = [len(WORD.findall(text, a, b)) for a, b in bounds]
@@ -116,11 +116,12 @@ def runs_of(text: str) -> list[tuple[int, int, str]]:
     found = {(i, int(j)) for i, j in enumerate(ends) if j <= n}
     found.update((int(i), j + 1) for j, i in enumerate(starts) if i >= 0)
     found.update((i, i + 1) for i, w in enumerate(words) if w >= LONG_SENTENCE)
+    found.update((i, i + window) for i in range(n - window + 1) if window and total[i + window] > total[i])
     plain = [text[a:b].strip(" \t\n\r\f\v") for a, b in bounds]
     return [(bounds[i][0], bounds[j - 1][1], "\n".join(plain[i:j])) for i, j in sorted(found)]
 
 
-def sentence_runs(named: DataFrame, text: str, rows: int = 256) -> DataFrame:
+def sentence_runs(named: DataFrame, text: str, window: int = 0, rows: int = 256) -> DataFrame:
     """__id, __hash, s, e, h, g of each run of each distinct text of a batch."""
     import xxhash
 
@@ -132,7 +133,7 @@ def sentence_runs(named: DataFrame, text: str, rows: int = 256) -> DataFrame:
                 b = whole.slice(at, rows)
                 row, s, e, h = [], [], [], []
                 for k, t in enumerate(b.column(2).to_pylist()):
-                    for x, y, plain in runs_of(t) if t else ():
+                    for x, y, plain in runs_of(t, window) if t else ():
                         row.append(k)
                         s.append(x)
                         e.append(y)
@@ -145,15 +146,15 @@ def sentence_runs(named: DataFrame, text: str, rows: int = 256) -> DataFrame:
     return picked.mapInArrow(run, f"__id {kind}, __hash long, s int, e int, h long, g long")
 
 
-def dedup_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", report: str | None = None) -> DataFrame:
+def dedup_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", report: str | None = None, window: int = 0) -> DataFrame:
     """docs, with the sentences gone that a later occurrence of a repeated run of sentences covers.
 
-    A sentence ends after its marks and the space behind them, or at a line's end; runs are those of runs_of(), so chance repeats of a few
-    short sentences stay. Null and empty texts stay as they are; a null key comes first. Other columns pass unchanged;
+    A sentence ends after its marks and the space behind them, or at a line's end; runs are those of runs_of(), so repeats of a few
+    short sentences stay unless `window` is given. Null and empty texts stay as they are; a null key comes first. Other columns pass unchanged;
     `report` adds a struct of n (code points), n_removed and n_spans, in place of a column of that name.
     """
     named = identified(docs, key, text)
-    joined = with_spans(named, sentence_runs(named, text))
+    joined = with_spans(named, sentence_runs(named, text, window))
     size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))
     kept = F.array_join(F.transform(gaps(size), lambda x: F.col(f"`{text}`").substr(x["a"] + 1, x["n"])), "")
     return replaced(docs, joined, text, kept, size, report)

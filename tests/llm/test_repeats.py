@@ -58,6 +58,20 @@ def test_spans(operator, brute, docs, unique, nothing):
     assert any(want[k] != unique[k] for k in unique) and operator(nothing, report="found").collect() == []
 
 
+def test_windows_of_short_sentences(spark):
+    rng = random.Random(12)
+    parts = {k: [rng.choice(["Aa.", "Bb cc!", "Dé?", "E f.", "Gh."]) for _ in range(rng.randint(0, 14))] for k in range(30)}
+    docs = spark.createDataFrame([(k, " ".join(p)) for k, p in parts.items()], "doc_id long, text string").repartition(3)
+    first, want = {}, {}
+    for k, p in parts.items():
+        gone = set()
+        for i in range(len(p) - 2):
+            if first.setdefault(tuple(p[i : i + 3]), (k, i)) != (k, i):
+                gone.update(range(i, i + 3))
+        want[k] = "".join(x + (" " if i < len(p) - 1 else "") for i, x in enumerate(p) if i not in gone)
+    assert {r["doc_id"]: r["text"] for r in spans.dedup_sentences(docs, window=3).collect()} == want
+
+
 def covered(texts, length):
     """For each text of bytes, which bytes a repeated string covers."""
     times = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
