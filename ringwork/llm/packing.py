@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from ringwork.llm.bpe import LETTERS, MARKS, ODD_SPACE, as_letters, marks_close, tokenizer
+from ringwork.llm.held import LIMIT, Held
 
 WINDOWS = 96  # windows divided together
 REST = 256  # longest piece of a document's rest
-CACHED = 700_000  # units remembered by a worker, beside as many older ones
 UNIT = re.compile(r"\s+(?!\S)| ?\S+|\s")
 SPACE_LETTER = LETTERS[32]
 BARE = "\x01"  # before a unit that no space stands before
@@ -38,10 +37,8 @@ class ByteEncoder:
     Texts with special tokens or control characters that count as space only here go to the library as they are.
     """
 
-    def __init__(self, path: str):
-        self.tok = tokenizer(path)
-        self.held = sys.modules[__name__].__dict__.setdefault("_units", {}).setdefault(path, [{}, {}])
-        self.units, self.older = self.held
+    def __init__(self, path: str, limit: int = LIMIT):
+        self.tok, self.held = tokenizer(path), Held(limit)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
@@ -62,13 +59,15 @@ class ByteEncoder:
             text = MARKS.sub(rf" {BARE}\g<0>", text)
         return (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" ")
 
-    def learn(self, units: set[str]) -> None:
-        known, plain = self.units, {}
+    def learn(self, units: set[str]) -> dict[str, bytes]:
+        """Remember ids of units not seen before; those of long units, which hardly come again, are given back instead."""
+        made: dict[str, bytes] = {}
+        plain: dict[str, str] = {}
         tokenize = self.tok.model.tokenize
         for u in units:
             word, space = (u[1:], "") if u[0] == BARE else (u, SPACE_LETTER)
             if len(u) <= 256 and word.isalpha():  # one piece
-                known[u] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(space + as_letters(word))])
+                made[u] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(space + as_letters(word))])
             else:
                 plain[u] = " " + word if space else word
         short = [u for u in plain if len(u) <= 256]
@@ -77,31 +76,19 @@ class ByteEncoder:
             ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(short) + 1)) * 4
             ids, start = np.array(e.ids, "<u4").tobytes(), 0
             for u, end in zip(short, ends.tolist(), strict=True):
-                known[u] = ids[start:end]
+                made[u] = ids[start:end]
                 start = end
-        for u in plain:
-            if len(u) > 256:
-                known[u] = self.whole(plain[u])
+        self.held.add(made)
+        return {u: self.whole(plain[u]) for u in plain if len(u) > 256}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        self.held.turn()
         split = list(map(self.units_of, texts))
-        if len(self.units) > CACHED:  # what is in use moves to the new table
-            self.older, self.units = self.units, {}
-        new: set[str] = set()
-        for words in split:
-            if words:
-                new.update(set(words).difference(self.units))
-        again = {u: self.older[u] for u in new if u in self.older}
-        self.units.update(again)
-        new.difference_update(again)
-        if new:
-            self.learn(new)
-        self.held[:] = self.units, self.older
-        out = [b"".join(map(self.units.__getitem__, s)) if s else self.whole(t) if t else b"" for s, t in zip(split, texts, strict=True)]
-        for u in [u for u in new if len(u) > 256]:
-            del self.units[u]
-        return out
+        new = self.held.unknown(set().union(*filter(None, split)))
+        long = self.learn(new) if new else {}
+        table = {**self.held.now, **long} if long else self.held.now
+        return [b"".join(map(table.__getitem__, s)) if s else self.whole(t) if t else b"" for s, t in zip(split, texts, strict=True)]
 
 
 def divide(lengths: list[int], windows: int) -> list[list[int]]:
