@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ringwork.llm.graph import components
 from ringwork.llm.suffixes import joined, keyed, packed
-from ringwork.runtime import written
+from ringwork.runtime import numbered, place, written
 
 WORDS = 5  # of a shingle; a shorter text is one shingle
 THRESHOLD = 0.8
@@ -275,8 +275,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = classes(docs, key, text)
     kept = found.where("class is not null").groupBy("class").agg(F.min(order).alias("m")).select("m.__id", "m.__hash")
     kept = kept.unionByName(found.where("class is null").select("__id", "__hash").distinct())
-    data = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
+    inner, names = numbered(docs)
+    data = F.encode(F.coalesce(F.col(place(names, text)), F.lit("")), "UTF-8")
     kept = kept.select(F.struct("__id", "__hash").alias("__doc"))
-    doc = F.struct(F.col(f"`{key}`").alias("__id"), F.xxhash64(data).alias("__hash")).cast(kept.schema["__doc"].dataType)
+    doc = F.struct(F.col(place(names, key)).alias("__id"), F.xxhash64(data).alias("__hash")).cast(kept.schema["__doc"].dataType)
     # each is kept once; a semi join would be moved before the copies are left out, and shuffle the texts twice
-    return docs.withColumn("__doc", doc).dropDuplicates(["__doc"]).join(kept, "__doc").select(*[f"`{c}`" for c in docs.columns])
+    return inner.withColumn("__doc", doc).dropDuplicates(["__doc"]).join(kept, "__doc").select(*inner.columns).toDF(*names)

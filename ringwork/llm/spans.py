@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringwork.runtime import written
+from ringwork.runtime import numbered, place, written
 
 LINES = 3  # lines of a window
 RUN_SENTENCES, RUN_WORDS = 2, 16  # a run of sentences has at least as many of both
@@ -47,8 +47,11 @@ def covered(spans: DataFrame) -> DataFrame:
     return later.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("p")).select("__id", "__hash", merged(F.col("p")).alias("__spans"))
 
 
-def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumns({"__id": F.col(f"`{key}`"), "__hash": F.xxhash64(F.col(f"`{text}`"))})
+def identified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list[str], str]:
+    """Numbered docs with __id and __hash, their names, and the text's column."""
+    docs, names = numbered(docs)
+    text = place(names, text)
+    return docs.withColumns({"__id": F.col(place(names, key)), "__hash": F.xxhash64(text)}), names, text
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -67,10 +70,11 @@ def gaps(size: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
 
 
-def replaced(docs: DataFrame, joined: DataFrame, text: str, kept: Column, size: Column, report: str | None) -> DataFrame:
-    """The columns of docs with the new text, and a struct of what was removed if `report` names it."""
+def replaced(joined: DataFrame, names: list[str], text: str, kept: Column, size: Column, report: str | None) -> DataFrame:
+    """The columns by their names with the new text, and a struct of what was removed if `report` names it."""
     n_removed = F.coalesce(F.aggregate("__spans", F.lit(0), lambda acc, x: acc + x["e"] - x["s"]), F.lit(0))
-    columns = [F.when(F.col("__spans").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != report]
+    new = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(kept)
+    columns = [(new if text == f"c{k}" else F.col(f"c{k}")).alias(c) for k, c in enumerate(names) if c != report]
     if report:
         n_spans = F.coalesce(F.size("__spans"), F.lit(0))
         n_spans = F.when(F.col("__spans").isNull(), 0).otherwise(n_spans)
@@ -81,12 +85,13 @@ def replaced(docs: DataFrame, joined: DataFrame, text: str, kept: Column, size:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report: str | None = None) -> DataFrame:
     """docs, with the lines gone that a later occurrence of a repeated window of LINES lines covers; DataFrame functions only.
 
-    Windows overlap, are compared exactly (by two hashes of 96 bits together) and count whether they come again in the same text or another; windows
-    without any visible character don't count. Texts of fewer lines, empty texts and null texts stay as they are. A null key comes first. Other
-    columns pass unchanged; `report` adds a struct of n (lines), n_removed and n_spans, in place of a column of that name.
+    Windows overlap, are compared by two hashes of 96 bits together, and count whether they come again in the same text or another; windows
+    without any visible character don't count. Texts of fewer lines, empty texts and null texts stay as they are; texts may be of any length. A null key comes first; of rows
+    with one key and different texts the smaller hash of the text does; repeated rows are one document and lose the same. An empty table gives no rows. Other
+    columns pass unchanged, whatever they are called; `report` adds a struct of n (lines), n_removed and n_spans, in place of a column of that name.
     """
-    named = identified(docs, key, text)
-    lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
+    named, names, text = identified(docs, key, text)
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
     def window(i: Column) -> Column:
         three = [F.get(F.col("__lines"), i + k) for k in range(LINES)]
@@ -98,7 +103,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", report
     windows = windows.where("w is not null").select("__id", "__hash", "s", (F.col("s") + LINES).alias("e"), "w.h", "w.g")
     joined = with_spans(named, windows).withColumn("__lines", lines)
     kept = F.array_join(F.flatten(F.transform(gaps(F.size("__lines")), lambda x: F.slice(F.col("__lines"), x["a"] + 1, x["n"]))), "\n")
-    return replaced(docs, joined, text, kept, F.size("__lines"), report)
+    return replaced(joined, names, text, kept, F.size("__lines"), report)
 
 
 def runs_of(text: str, window: int = 0) -> list[tuple[int, int, str]]:
@@ -125,7 +130,7 @@ def sentence_runs(named: DataFrame, text: str, window: int = 0, rows: int = 256)
     """__id, __hash, s, e, h, g of each run of each distinct text of a batch."""
     import xxhash
 
-    picked = named.select("__id", "__hash", F.col(f"`{text}`").alias("__text"))
+    picked = named.select("__id", "__hash", F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -150,11 +155,12 @@ def dedup_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", re
     """docs, with the sentences gone that a later occurrence of a repeated run of sentences covers.
 
     A sentence ends after its marks and the space behind them, or at a line's end; runs are those of runs_of(), so repeats of a few
-    short sentences stay unless `window` is given. Null and empty texts stay as they are; a null key comes first. Other columns pass unchanged;
-    `report` adds a struct of n (code points), n_removed and n_spans, in place of a column of that name.
+    short sentences stay unless `window` is given. Null and empty texts stay as they are; texts may be of any length. A null key comes first; of rows
+    with one key and different texts the smaller hash of the text does; repeated rows are one document and lose the same. An empty table gives no rows. Other columns
+    pass unchanged, whatever they are called; `report` adds a struct of n (code points), n_removed and n_spans, in place of a column of that name.
     """
-    named = identified(docs, key, text)
+    named, names, text = identified(docs, key, text)
     joined = with_spans(named, sentence_runs(named, text, window))
-    size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))
-    kept = F.array_join(F.transform(gaps(size), lambda x: F.col(f"`{text}`").substr(x["a"] + 1, x["n"])), "")
-    return replaced(docs, joined, text, kept, size, report)
+    size = F.coalesce(F.length(text), F.lit(0))
+    kept = F.array_join(F.transform(gaps(size), lambda x: F.col(text).substr(x["a"] + 1, x["n"])), "")
+    return replaced(joined, names, text, kept, size, report)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwork.llm.spans import merged
-from ringwork.runtime import written
+from ringwork.runtime import numbered, place, written
 
 LENGTH = 200
 GRAM = 64
@@ -368,8 +368,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
     """key, n_bytes, spans (array of struct s, e: the maximal removed runs of bytes) and kept (the other bytes) of each row.
 
     A byte goes if a string of LENGTH bytes that covers it also starts elsewhere, in the same text or another. as_text: spans are narrowed to
-    whole characters and kept is a string. Null and empty texts keep nothing and lose nothing; rows of equal key and equal text are one
-    document; other columns are left aside; an empty table gives no rows.
+    whole characters and kept is a string. Null and empty texts keep nothing and lose nothing; texts may be of any length; rows of equal key and equal text are one
+    document, rows of equal keys and different texts are different ones; null keys are keys; other columns are left aside, whatever they are called; an
+    empty table gives no rows.
     """
     rows = keyed(docs, key, text)
     both = joined(packed(rows), repeated_spans(rows), "left").select("__id", "__z", "__spans")
@@ -401,18 +402,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", as_
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the bytes of remove_repeats() gone from their texts, narrowed to whole characters; other columns pass unchanged. A null text stays null."""
+    """docs with the bytes of remove_repeats() gone from their texts, narrowed to whole characters.
+
+    Other columns pass unchanged, whatever they are called. A null text stays null, an empty one empty; texts may be of any length; rows of equal key and equal text are one
+    document and lose the same, rows of equal keys and different texts are different documents; null keys are keys; an empty table gives no rows.
+    """
     spans = repeated_spans(keyed(docs, key, text))
-    named = docs.withColumns({"__id": F.col(f"`{key}`"), "__hash": F.xxhash64(F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8"))})
-    both = joined(named, spans, "left").select(*[f"`{c}`" for c in docs.columns], "__spans")
-    place, names = docs.columns.index(text), docs.columns
+    inner, names = numbered(docs)
+    text = place(names, text)
+    named = inner.withColumns({"__id": F.col(place(names, key)), "__hash": F.xxhash64(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))})
+    both = joined(named, spans, "left").select(*inner.columns, "__spans")
+    numbers = inner.columns
+    at_text = numbers.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 out = []
-                for t, found in zip(b.column(place).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                for t, found in zip(b.column(at_text).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                     if found:
                         data, end, parts = t.encode(), 0, []
                         for x in found:
@@ -421,10 +429,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                             end = e
                         t = b"".join([*parts, data[end:]]).decode()
                     out.append(t)
-                columns = [pa.array(out, pa.string()) if k == place else b.column(k) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = [pa.array(out, pa.string()) if k == at_text else b.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names=numbers)
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(run, inner.schema).toDF(*names)
 
 
 def whole_characters(data: bytes, s: int, e: int) -> tuple[int, int]:

@@ -8,22 +8,22 @@ below zero: where it does, the step goes the other way, so that the classifier d
 from __future__ import annotations
 
 import re
-import sys
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ringwork.llm.held import LIMIT, Held
+from ringwork.runtime import numbered, place
+
 BITS = 17  # of a feature's hash
-CACHED = 400_000  # words remembered by a worker
 MARKS = re.compile(r"[^\w]+")
 PREFIXES = (4, 5, 6)  # characters of a word's beginnings that count as features
-MAX_POSITIVES, MAX_UNLABELLED = 2000, 4000  # bounds of what the driver trains on
+MAX_POSITIVES, MAX_UNLABELLED, MAX_BYTES = 2000, 4000, 64 << 20  # bounds of what the driver trains on
 APART = 4.0  # standard errors by which a feature's share of the positives differs from that of the unlabelled, to be used
 STEPS, RATE, DECAY = 200, 0.6, 1e-5
 
@@ -38,16 +38,14 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in MARKS.split(text.lower()) if w] if text else []
 
 
-def counted(texts: list[str | None], held: dict[str, bytes], ids_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def counted(texts: list[str | None], held: Held, ids_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, value) of the whole texts: the square root of a feature's count among the text's words. held: known words' ids as bytes."""
-    if len(held) > CACHED:
-        held.clear()
+    held.turn()
     parts, sizes = [], []
     for t in texts:
         words = words_of(t)
-        for w in set(words).difference(held):
-            held[w] = np.array(ids_of(w), "<i4").tobytes()
-        parts.append(b"".join(map(held.__getitem__, words)))
+        held.add({w: np.array(ids_of(w), "<i4").tobytes() for w in held.unknown(words)})
+        parts.append(b"".join(map(held.now.__getitem__, words)))
         sizes.append(len(words))
     rows = np.repeat(np.arange(len(texts)), [len(p) // 4 for p in parts])
     keys, counts = np.unique((rows << BITS) | np.frombuffer(b"".join(parts), "<i4").astype(np.int64), return_counts=True)
@@ -61,17 +59,12 @@ class Model:
 
     weights: dict[int, float]
     bias: float
-    number: str = field(default_factory=lambda: uuid.uuid4().hex)
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """0 to 1 for each whole text; a null or empty text has the bias alone."""
-        held = sys.modules[__name__].__dict__.setdefault("_words", {})
-        if self.number not in held:
-            held.clear()
-            held[self.number] = {}
+
+    def score(self, texts: list[str | None], held: Held | None = None) -> np.ndarray:
+        """0 to 1 for each whole text; a null or empty text has the bias alone. held: words met by this model before."""
         dense = np.zeros(1 << BITS)
         dense[list(self.weights)] = list(self.weights.values())
-        rows, ids, values = counted(texts, held[self.number], lambda w: [i for i in feature_ids(w) if i in self.weights])
+        rows, ids, values = counted(texts, held or Held(), lambda w: [i for i in feature_ids(w) if i in self.weights])
         g = np.bincount(rows, values * dense[ids], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
 
@@ -83,7 +76,7 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
         return Model({}, -5.0)
     prior = min(prior, 0.9)
     n, m = len(positive), len(unlabelled)
-    parts, held = [], {}
+    parts, held = [], Held()
     for at in range(0, n + m, 128):  # in pieces, to bound the memory
         some = [positive[k] if k < n else unlabelled[k - n] for k in range(at, min(at + 128, n + m))]
         r, i, v = counted(some, held, feature_ids)
@@ -129,30 +122,38 @@ def fold(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES) -> Model:
     """A model from the texts of labelled rows that are not held out.
 
     At most max_positives texts with label 1, and max_unlabelled texts of any label (which training does not see), both in the order of
-    their keys' hash; that bounds what the driver holds. The class prior is the share of 1 among all those rows. Rows with null labels are left out.
+    their keys' hash, and of either as many as have max_bytes together; that bounds what the driver holds. The class prior is the share of 1 among all those rows. Rows with null keys or
+    labels are left out; a null text counts as empty; a key with several rows or texts gives each of them; without rows all scores are low. Columns of other names are not looked at.
     """
     rows = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").alias("__label")).where(F.col("__label").isNotNull() & F.col("__key").isNotNull() & ~fold(F.col("__key")))
     prior = rows.agg(F.avg((F.col("__label") == 1).cast("double"))).first()[0] or 0.0
     order = [F.xxhash64("__key"), F.col("__key")]
     picked = rows.where("__label = 1").orderBy(*order).limit(max_positives).select("__key", F.lit(True).alias("__positive"))
     picked = picked.unionByName(rows.orderBy(*order).limit(max_unlabelled).select("__key", F.lit(False).alias("__positive")))
-    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(picked), "__key").select("__positive", "__text").collect()
+    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(picked), "__key")
+    upto = F.sum(F.octet_length(F.coalesce("__text", F.lit("")))).over(Window.partitionBy("__positive").orderBy(*order, F.xxhash64("__text")))
+    texts = texts.withColumn("__upto", upto).where(F.col("__upto") <= max_bytes).select("__positive", "__text").collect()
     return train(sorted(r[1] or "" for r in texts if r[0]), sorted(r[1] or "" for r in texts if not r[0]), prior)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", score: str = "score", rows: int = 512) -> DataFrame:
-    """docs with a column of scores, in place of one of that name; one pass, no shuffle. Null and empty texts get the bias's score."""
-    docs = docs.drop(score) if score in docs.columns else docs
-    place = docs.columns.index(text)
+    """docs with a column of scores, in place of one of that name; one pass, no shuffle.
+
+    Null and empty texts get the bias's score; texts are scored whole, whatever their length; equal texts get equal scores, and repeated rows and ties of keys make no difference; an
+    empty table gives no rows; other columns pass unchanged, whatever they are called.
+    """
+    docs, names = numbered(docs.drop(score) if score in docs.columns else docs)
+    at_text = docs.columns.index(place(names, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(LIMIT // 2)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(place).to_pylist()))], names=[*b.schema.names, score])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(at_text).to_pylist(), held))], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())])).toDF(*names, score)
