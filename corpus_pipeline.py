@@ -25,7 +25,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the classifier, fitted to the labels, scores below one half."""
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, score="__score").where("__score < 0.5").drop("__score")
+    score = "_".join(["score", *docs.columns])  # no column's name
+    return toxicity.scored(docs, model, score=score).where(F.col(f"`{score}`") < 0.5).drop(score)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
