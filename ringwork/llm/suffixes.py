@@ -24,6 +24,7 @@ GRAM = 64
 GROUP = 16384  # different contexts of an anchor that one suffix array takes; larger groups are split
 ARRAY_BYTES = 1 << 20  # contexts are gathered up to about this size for a suffix array
 STEP = 8  # bytes before an anchor by which a large group is split
+HOT = 1000  # a context with over one of so many of all occurrences is hot; so there are fewer than HOT of them, whatever the input
 WIDE = np.random.RandomState(8).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TABLE = np.random.RandomState(7).randint(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -348,13 +349,17 @@ def split_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """__id, __hash, __spans (merged intervals of bytes) of the documents of keyed() that hold a repeated string."""
-    rows = anchor_rows(docs)
+    rows = written(anchor_rows(docs), "all-anchors")
     again = rows.groupBy("a").agg(F.count("*").alias("t"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("t > 1")
     again = written(again.select("a", (F.col("c1") != F.col("c2")).alias("differ")), "anchors")
     found = written(rows.join(again, "a"), "occurrences")  # anchors of strings that may come again, and no others
     first = [F.first(c).alias(c) for c in ("__id", "__hash", "lo", "hi", "off")]
     kinds = written(found.groupBy("a", "c").agg(F.when(several("lo"), F.count("*")).otherwise(1).alias("n"), F.first("differ").alias("differ"), *first), "contexts")
-    equal = found.join(kinds.where("n > 1").select("a", "c"), ["a", "c"]).where(F.col("hi") - F.col("lo") >= LENGTH)
+    # the occurrences of a hot context would meet in one task of a join; hot ones are so few by definition that each task can have their list
+    many = max(HOT, found.count() // HOT)
+    hot = F.broadcast(kinds.where(F.col("n") > many).select("a", "c"))
+    equal = found.join(hot, ["a", "c"], "left_anti").join(kinds.where((F.col("n") > 1) & (F.col("n") <= many)).select("a", "c"), ["a", "c"])
+    equal = equal.unionByName(found.join(hot, ["a", "c"])).where(F.col("hi") - F.col("lo") >= LENGTH)
     spans = equal.select("__id", "__hash", F.col("lo").alias("s"), F.col("hi").alias("e"))
     reps = kinds.where("differ").select(F.col("a").alias("g"), "n", "__id", "__hash", "lo", "hi", "off")
     small, more = split_groups(written(contexts(reps, docs), "groups"))
