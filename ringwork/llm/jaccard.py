@@ -30,7 +30,7 @@ BUCKET = 256
 BRANCHES = 2
 LEVELS = 3
 MARGIN = 0.25  # candidates agree in a share of coordinates down to so much below the threshold (five standard errors)
-BLOCK = 500  # sets of a block in the exact comparison
+BLOCK = 250  # sets of a block in the exact comparison
 DENSE = 48  # shingles in at least so many sets of a block are multiplied as a matrix
 CACHED = 100_000  # words remembered during a task
 WORD = re.compile(r"\w+")
@@ -257,7 +257,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     known = written(known.select("set", F.coalesce("label", "set").alias("label"), "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "known")
     least = written(known.groupBy("label").agg(F.min("least").alias("class_id")), "class-ids")
     known = written(known.join(least, "label").select("set", "label", "class_id", "n_links"), "known")
-    out = found.select("__id", "__hash", "set").join(known, "set", "left")
+    no = [F.lit(None).cast(t).alias(c) for c, t in known.dtypes if c != "set"]
+    out = found.select("__id", "__hash", "set")
+    out = out.where("set is not null").join(known, "set", "left").unionByName(out.where("set is null").select("*", *no))  # nulls would meet in one task
     return out.select("__id", "__hash", F.coalesce("label", "set").alias("class"), F.coalesce("class_id", "__id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
