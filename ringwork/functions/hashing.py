@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GOLDEN = 0x9E3779B9
@@ -63,3 +63,18 @@ def simulated(hashes: Column, size: int) -> Column:
     found = counts(fold(hashes, buckets))
     bits = F.transform(found, lambda c: F.filter(F.array(*[F.when(c["cnt"] >= n, c["bit"] * len(LEVELS) + k) for k, n in enumerate(LEVELS)]), lambda b: b.isNotNull()))
     return F.flatten(bits)
+
+
+def settled(value: Column) -> Column:
+    """The value, as one that the optimizer takes for non-deterministic.
+
+    A fingerprint stands on many projections, each of which names columns below more than once. A filter, join or explode on the result would be pushed down
+    through them all, and each name replaced by its expression, so that the plan grows as a power of the projections; through a column like this it is not.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def with_settled(df: DataFrame, out: str, value: Column) -> DataFrame:
+    """df with a settled column, or in place of one of that name. It comes out of an array of one, behind which a join's keys are not traced back either."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return df.withColumn("__settled", settled(value)).select(*rest, F.explode(F.array("__settled")).alias(out))

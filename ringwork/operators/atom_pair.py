@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringwork.functions.hashing import presence, sequence_hash, simulated
+from ringwork.functions.hashing import presence, sequence_hash, simulated, with_settled
 from ringwork.functions.invariants import with_adjacency, with_atom_codes, with_centers, with_pi_electrons
 
 FARTHEST = 254  # distances beyond are not told apart
@@ -43,7 +43,10 @@ def with_pairs(df: DataFrame, nearest: int = 1, farthest: int = 30, dist: str =
 
 @dataclass(frozen=True)
 class AtomPairFingerprint:
-    """Bits of the pairs of atoms at min_distance to max_distance: struct<len, bits>. Works on prepared and on raw molecules."""
+    """Bits of the pairs of atoms at min_distance to max_distance: struct<len, bits>. Works on prepared and on raw molecules.
+
+    FARTHEST is the last distance that is told apart; a max_distance of one more takes in no more pairs.
+    """
 
     fp_size: int = 2048
     min_distance: int = 1
@@ -52,8 +55,8 @@ class AtomPairFingerprint:
     atom_codes: str | None = None
 
     def __post_init__(self) -> None:
-        if self.fp_size < 0 or not 0 <= self.min_distance or self.max_distance > FARTHEST:
-            raise ValueError(f"fp_size and min_distance must not be negative, max_distance at most {FARTHEST}")
+        if self.fp_size < 0 or not 0 <= self.min_distance or not 0 <= self.max_distance <= FARTHEST + 1:
+            raise ValueError(f"fp_size and min_distance must not be negative, max_distance 0 to {FARTHEST + 1}")
 
     def with_min_distance(self, value: int) -> AtomPairFingerprint:
         return replace(self, min_distance=value)
@@ -68,10 +71,11 @@ class AtomPairFingerprint:
         """df with the fingerprint; null where mol is null, without bits below two atoms or where fp_size is 0."""
         df = with_centers(with_adjacency(df, mol), mol)
         df = df.withColumn("__codes", F.col(self.atom_codes)) if self.atom_codes else with_atom_codes(with_pi_electrons(df, mol), mol)
-        df = with_pairs(with_distances(df, self.max_distance), self.min_distance, self.max_distance)
+        farthest = min(self.max_distance, FARTHEST)
+        df = with_pairs(with_distances(df, farthest), self.min_distance, farthest)
         code = lambda i: F.get("__codes", i)
         hashes = F.transform("__pairs", lambda p: sequence_hash(F.array(F.least(code(p["a"]), code(p["b"])), p["d"].cast("bigint"), F.greatest(code(p["a"]), code(p["b"])))))
         df = df.withColumn("__hashes", hashes)
         bits = (simulated if self.count_simulation else presence)(F.col("__hashes"), self.fp_size)
         fp = F.struct(F.lit(self.fp_size).alias("len"), bits.alias("bits"))
-        return df.withColumn(out, F.when(F.col(mol).isNotNull(), fp)).drop("__adj", "__dox", "__pi", "__codes", "__dist", "__pairs", "__hashes")
+        return with_settled(df, out, F.when(F.col(mol).isNotNull(), fp)).drop("__adj", "__dox", "__pi", "__codes", "__dist", "__pairs", "__hashes")

@@ -22,7 +22,7 @@ from ringwork.sources.prepare import as_molecule
 from ringwork.sources.smarts import Pattern, SmartsError, Target
 from ringwork.sources.smiles import Molecule
 
-CACHED = 50_000
+TOGETHER = 500  # rows looked at together; a molecule that comes again among them is searched once
 
 
 class PatternError(ValueError):
@@ -129,19 +129,16 @@ class MaccsFingerprint:
         place, names, kind = source.columns.index(mol), [*source.columns, out], to_arrow_type(BITS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = sys.modules[__name__].__dict__.setdefault("_known", {})
             for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    b = whole.slice(at, 1000)
-                    found = []
+                for at in range(0, whole.num_rows, TOGETHER):
+                    b = whole.slice(at, TOGETHER)
+                    found, held = [], {}
                     for row in b.column(place).to_pylist():
                         if row is None:
                             found.append(None)
                             continue
                         key = tuple((a["z"], a["charge"], a["aromatic"], a["h_explicit"] + a["h_implicit"], a["in_ring"], a["comp"]) for a in row["atoms"]), tuple((b["a"], b["b"], b["kind"], b["in_ring"]) for b in row["bonds"]), str(row["rings"])
                         if key not in held:
-                            if len(held) >= CACHED:
-                                held.clear()
                             held[key] = {"len": SIZE, "bits": keys_of(as_molecule(row))}
                         found.append(held[key])
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=names)

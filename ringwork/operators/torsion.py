@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringwork.functions.hashing import presence, sequence_hash, simulated
+from ringwork.functions.hashing import presence, sequence_hash, simulated, with_settled
 from ringwork.functions.invariants import with_adjacency, with_atom_codes, with_centers, with_pi_electrons
 from ringwork.operators.atom_pair import with_distances
 
@@ -87,4 +87,4 @@ class TopologicalTorsionFingerprint:
         df = df.withColumn("__codes", codes).withColumn("__hashes", F.transform("__codes", lambda c: sequence_hash(F.least(c, F.reverse(c)))))
         bits = (simulated if self.count_simulation else presence)(F.col("__hashes"), self.fp_size)
         fp = F.struct(F.lit(self.fp_size).alias("len"), bits.alias("bits"))
-        return df.withColumn(out, F.when(F.col(mol).isNotNull(), fp)).drop("__adj", "__dox", "__pi", "__end", "__inner", "__dist", "__paths", "__codes", "__hashes")
+        return with_settled(df, out, F.when(F.col(mol).isNotNull(), fp)).drop("__adj", "__dox", "__pi", "__end", "__inner", "__dist", "__paths", "__codes", "__hashes")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ringwork.plans.queries import ATOM_KEYS, PATH_KEYS
-from ringwork.sources.readers import FRAGMENTS
+from ringwork.sources.readers import FRAGMENTS, METALS
 
 # Atoms (fragment, place, atomic number, charge, mass difference, aromatic, hydrogens in brackets, ring) and bonds (fragment, a, b, kind, ring)
 # of the fragments; 16 and 17 are what follows the others: an acid, joined, and an ion, apart. Last: atoms of each, and the atom that the next is joined to.
@@ -127,9 +127,9 @@ def bits_of(hashes: str, simulate: bool) -> str:
     return f"SELECT mol_id, CAST(bucket * 4 + k AS INTEGER) AS bit FROM (SELECT mol_id, h % 512 AS bucket, count(*) AS n FROM ({hashes}) GROUP BY ALL), range(0, 4) AS r(k) WHERE n >= CAST(pow(2, k) AS BIGINT)"
 
 
-def pair_bits(nearest: int = 1, farthest: int = 30, simulate: bool = True) -> str:
+def pair_bits(nearest: int = 1, farthest: int = 30, simulate: bool = True, codes: str | None = None) -> str:
     h = fold_hash("[CAST(0 AS BIGINT), least(x.c, y.c), CAST(d AS BIGINT), greatest(x.c, y.c)]")
-    side = f"(SELECT mol_id, atom, {code(0)} AS c FROM codes)"
+    side = codes or f"(SELECT mol_id, atom, {code(0)} AS c FROM codes)"
     hashes = f"SELECT t.mol_id, {h} AS h FROM dist t JOIN {side} x ON x.mol_id = t.mol_id AND x.atom = t.a JOIN {side} y ON y.mol_id = t.mol_id AND y.atom = t.b WHERE t.a < t.b AND t.d BETWEEN {nearest} AND {farthest}"
     return DISTANCES + bits_of(hashes, simulate)
 
@@ -201,9 +201,25 @@ atoms AS MATERIALIZED (SELECT mol_id, atom, z, charge, delta, arom, in_ring, com
     return head + more + mark + tail
 
 
+def metal_pi() -> str:
+    """The rules for the pi electrons of METALS, as a condition and a value for each family."""
+    rules = [
+        ((25, 43, 75), "CASE WHEN degree = 1 THEN unsat WHEN degree = 2 AND NOT single THEN CASE unsat WHEN 4 THEN 1 ELSE unsat END ELSE 0 END"),
+        ((24, 42, 74, 90, 92, 93), "CASE WHEN degree IN (1, 2) OR degree = 3 AND unsat >= 2 THEN unsat ELSE 0 END"),
+        ((23, 41, 73), "CASE WHEN degree <= 3 THEN unsat ELSE 0 END"),
+        ((26, 44, 76), "CASE WHEN degree = 1 AND unsat >= 2 THEN unsat WHEN degree = 3 AND unsat = 1 THEN 1 WHEN degree = 4 AND unsat = 2 THEN 2 ELSE 0 END"),
+        ((27, 45, 77), "CASE WHEN degree IN (2, 3) AND unsat = 1 THEN 1 WHEN degree = 4 AND unsat = 2 THEN 2 ELSE 0 END"),
+        ((28, 46, 78, 66), "CASE WHEN unsat = degree THEN unsat ELSE 0 END"),
+        ((65,), "0"),
+    ]
+    return "CASE WHEN unsat = 0 THEN 0 " + " ".join(f"WHEN z IN ({', '.join(map(str, of))}) THEN {then}" for of, then in rules) + " ELSE unsat END"
+
+
+MOL_SMILES = f"""SELECT p_partkey AS mol_id, array_to_string(list_transform(range(0, 1 + p_size % 4), lambda i: {FRAGMENTS!r}[1 + ((p_partkey >> CAST(4 * i AS INTEGER)) + p_size * (2 * i + 1)) % 16]), '')
+  || CASE WHEN p_size % 10 = 0 THEN '.[Na+]' WHEN p_size % 11 = 0 THEN 'OCl(=O)=O' ELSE '' END AS smiles FROM part"""
+
 ORACLES: dict[str, str] = {
-    "mol_smiles": f"""SELECT p_partkey AS mol_id, array_to_string(list_transform(range(0, 1 + p_size % 4), lambda i: {FRAGMENTS!r}[1 + ((p_partkey >> CAST(4 * i AS INTEGER)) + p_size * (2 * i + 1)) % 16]), '')
-  || CASE WHEN p_size % 10 = 0 THEN '.[Na+]' WHEN p_size % 11 = 0 THEN 'OCl(=O)=O' ELSE '' END AS smiles FROM part""",
+    "mol_smiles": MOL_SMILES,
     "mol_atoms": BASE + "SELECT mol_id, atom, CAST(z AS INTEGER) AS z, CAST(charge AS INTEGER) AS charge, arom AS aromatic, CAST(h AS INTEGER) AS h, in_ring, CAST(comp AS INTEGER) AS comp, CAST(delta AS INTEGER) AS delta_mass FROM atoms",
     "mol_bonds": BASE + "SELECT mol_id, least(a, b) AS a, greatest(a, b) AS b, kind, in_ring FROM bonds",
     "mol_degree": BASE + "SELECT mol_id, atom, CAST(degree AS INTEGER) AS degree, CAST(orders AS INTEGER) AS orders FROM atoms",
@@ -245,4 +261,16 @@ SELECT mol_id, CAST(2048 AS INTEGER) AS length, bool_or(hash % 2048 = 1057) AS h
     "fp_layer_rollup": emitted(2) + "\nSELECT mol_id, CAST(layer AS INTEGER) AS layer, count(*) AS cnt FROM em GROUP BY ROLLUP (mol_id, layer)",
     "explicit_h_counts": ecfp_counts(2048, with_hydrogens()),
     "explicit_h_atoms": BASE + """SELECT mol_id, CAST(count(*) + sum(h) AS INTEGER) AS n_atoms, CAST((SELECT count(*) FROM bonds b WHERE b.mol_id = a.mol_id) + sum(h) AS INTEGER) AS n_bonds, CAST(sum(h) AS INTEGER) AS n_hydrogens FROM atoms a GROUP BY mol_id""",
+    "pi_electrons_metals": f"""WITH p AS (SELECT p_partkey AS mol_id, {[z for z, _ in METALS]}[1 + p_partkey % {len(METALS)}] AS z, (p_partkey * 7 + p_size * 11) % 256 AS c FROM part),
+o AS (SELECT mol_id, z, list_filter([c % 4, (c // 4) % 4, (c // 16) % 4, c // 64], lambda x: x > 0) AS orders FROM p),
+d AS (SELECT mol_id, z, CAST(len(orders) AS INTEGER) AS degree, CAST(coalesce(list_sum(orders), 0) AS INTEGER) - len(orders) AS unsat, list_contains(orders, 1) AS single FROM o),
+r AS (SELECT mol_id, z, degree, CAST({metal_pi()} AS INTEGER) AS pi FROM d)
+SELECT mol_id, CAST(z AS INTEGER) AS z, degree, pi, CAST(degree % 7 + pi % 3 * 8 + 15 * 32 AS BIGINT) AS code FROM r""",
+    "fp_filtered": f"SELECT mol_id, CAST(count(*) AS INTEGER) AS n_bits FROM ({ecfp_bits(3, 2048)}) GROUP BY mol_id HAVING count(*) >= 12 AND bool_or(bit = 1057)",
+    "smiles_guarded": f"SELECT mol_id, CAST(strlen(repeat(smiles, 1 + mol_id % 9)) AS INTEGER) AS n_bytes FROM ({MOL_SMILES}) WHERE strlen(repeat(smiles, 1 + mol_id % 9)) BETWEEN 1 AND 128",
+    "smiles_errors": "SELECT p_partkey AS mol_id, p_partkey % 4 = 0 AS prepared, CASE WHEN p_partkey % 4 > 0 THEN true END AS has_error FROM part",
+    "ecfp_zero_size": "SELECT p_partkey AS mol_id, CAST(0 AS INTEGER) AS length, CAST(0 AS INTEGER) AS n_bits FROM part",
+    "custom_algorithm": BASE + "SELECT DISTINCT mol_id, CAST(z AS INTEGER) AS bit FROM atoms",
+    "custom_invariants": BASE + "SELECT DISTINCT mol_id, CAST(z AS INTEGER) AS bit FROM atoms",
+    "custom_codes": pair_bits(simulate=False, codes="(SELECT mol_id, atom, CAST(z AS BIGINT) AS c FROM atoms)"),
 }

@@ -13,8 +13,9 @@ from ringwork.operators.atom_pair import AtomPairFingerprint, with_distances, wi
 from ringwork.operators.ecfp import CountEcfpFingerprint, EcfpFingerprint, LayeredCountEcfpFingerprint
 from ringwork.operators.maccs import MaccsFingerprint, aromatic_ring_count, atom_keys, fragment_count
 from ringwork.operators.torsion import TopologicalTorsionFingerprint, with_paths
-from ringwork.sources.prepare import explicit_h, prepare
-from ringwork.sources.readers import guarded, molecules
+from ringwork.schema import BITS
+from ringwork.sources.prepare import explicit_h, prepare, try_prepare
+from ringwork.sources.readers import complexes, guarded, molecules
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Keys of two and three atoms in a row that the oracle can join for.
@@ -29,8 +30,8 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exploded(df: DataFrame, array: Column | str, name: str, place: str | None = None) -> DataFrame:
     """mol_id and the elements of an array (with their places).
 
-    An outer explode whose nulls are filtered behind it: of a plain one the optimizer infers a filter that it pushes down through every projection, and
-    the expressions below, put into one, would take it minutes.
+    An outer explode whose nulls are filtered behind it: of a plain one the optimizer infers a filter that it pushes down through every projection. That does
+    not matter for fingerprints, which are settled, but for what they are made of.
     """
     if place:
         return df.select("mol_id", F.posexplode_outer(array).alias(place, name)).where(F.col(place).isNotNull())
@@ -214,6 +215,56 @@ def torsion_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded_bits(TopologicalTorsionFingerprint().compute(raw))
 
 
+def pi_electrons_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = with_atom_codes(with_pi_electrons(with_centers(with_adjacency(prepare(complexes(spark, sf_dir), mode="FAILFAST")))))
+    return df.select("mol_id", F.get("mol.atoms", F.lit(0))["z"].alias("z"), F.size(F.get("__adj", F.lit(0))).alias("degree"), F.get("__pi", F.lit(0)).alias("pi"), F.get("__codes", F.lit(0)).alias("code"))
+
+
+def fp_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = EcfpFingerprint(radius=3).compute(prepared(spark, sf_dir))
+    return df.where((F.size("fp.bits") >= 12) & F.array_contains("fp.bits", 1057)).select("mol_id", F.size("fp.bits").alias("n_bits"))
+
+
+def smiles_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = molecules(spark, sf_dir).withColumn("smiles", F.expr("repeat(smiles, cast(1 + mol_id % 9 AS int))"))
+    return guarded(df).select("mol_id", F.octet_length("smiles").alias("n_bytes"))
+
+
+def smiles_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.get(F.array(*map(F.lit, ["", "(", "[Xx]", "1"])), (F.col("mol_id") % 4).cast("int"))
+    df = try_prepare(molecules(spark, sf_dir).withColumn("smiles", F.concat("smiles", end)))
+    return df.select("mol_id", F.col("mol").isNotNull().alias("prepared"), (F.length("parse_error") > 0).alias("has_error"))
+
+
+def ecfp_zero_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = EcfpFingerprint(fp_size=0).compute(prepared(spark, sf_dir))
+    return df.select("mol_id", values.length(F.col("fp")).alias("length"), F.size(values.active_bits(F.col("fp"))).alias("n_bits"))
+
+
+def with_numbers(df: DataFrame, mol: str = "mol") -> DataFrame:
+    return df.withColumn("numbers", F.transform(F.col(f"{mol}.atoms"), lambda a: a["z"].cast("bigint")))
+
+
+class ElementFingerprint:
+    """An algorithm that is not built in: a bit for each element."""
+
+    def compute(self, df: DataFrame, mol: str = "mol", out: str = "fp") -> DataFrame:
+        bits = F.array_sort(F.array_distinct(F.transform(F.col(f"{mol}.atoms"), lambda a: a["z"])))
+        return df.withColumn(out, F.struct(F.lit(128).alias("len"), bits.alias("bits")).cast(BITS))
+
+
+def custom_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded_bits(prepared(spark, sf_dir).transform(ElementFingerprint().compute))
+
+
+def custom_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded_bits(EcfpFingerprint(radius=0, atom_invariants="numbers").compute(with_numbers(prepared(spark, sf_dir))))
+
+
+def custom_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded_bits(AtomPairFingerprint(count_simulation=False, atom_codes="numbers").compute(with_numbers(prepared(spark, sf_dir))))
+
+
 QUERIES: dict[str, Query] = {
     "mol_smiles": mol_smiles,
     "mol_atoms": mol_atoms,
@@ -254,4 +305,12 @@ QUERIES: dict[str, Query] = {
     "fp_layer_rollup": fp_layer_rollup,
     "explicit_h_atoms": explicit_h_atoms,
     "explicit_h_counts": explicit_h_counts,
+    "pi_electrons_metals": pi_electrons_metals,
+    "fp_filtered": fp_filtered,
+    "smiles_guarded": smiles_guarded,
+    "smiles_errors": smiles_errors,
+    "ecfp_zero_size": ecfp_zero_size,
+    "custom_algorithm": custom_algorithm,
+    "custom_invariants": custom_invariants,
+    "custom_codes": custom_codes,
 }

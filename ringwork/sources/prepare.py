@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from ringwork.schema import MOL
 from ringwork.sources.perceive import find_rings, normalize
 from ringwork.sources.smiles import Atom, Bond, Molecule, SmilesError, parse
 
-CACHED = 100_000
+TOGETHER = 500  # rows read together; a SMILES that comes again among them is read once
 
 
 class PreparationError(ValueError):
@@ -66,15 +65,12 @@ def prepare(df: DataFrame, smiles: str = "smiles", mode: str = "PERMISSIVE", nor
     kind = to_arrow_type(MOL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sys.modules[__name__].__dict__.setdefault("_read", {}).setdefault(normalized, {})
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                found = []
+            for at in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(at, TOGETHER)
+                found, held = [], {}
                 for text in b.column(place).to_pylist():
                     if text not in held:
-                        if len(held) >= CACHED:
-                            held.clear()
                         held[text] = read_molecule(text, normalized)
                     found.append(held[text])
                     if mode == "FAILFAST" and found[-1][1]:
@@ -90,6 +86,10 @@ def try_prepare(df: DataFrame, smiles: str = "smiles", **options) -> DataFrame:
     return prepare(df, smiles, "PERMISSIVE", **options)
 
 
+# Names that users of older code may know.
+smiles_ecfp_graph, smiles_ecfp_scratch = prepare, try_prepare
+
+
 def explicit_h(mol: Column) -> Column:
     """The molecule with an atom and a single bond for each hydrogen, and no hydrogen counts."""
     atoms, bonds = mol["atoms"], mol["bonds"]

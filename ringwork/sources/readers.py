@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The fragments of which derived molecules are put together.
 FRAGMENTS = ["C", "CC", "N", "O", "C(=O)", "C(=O)N", "c1ccccc1", "C1CCCCC1", "c1ccncc1", "C(F)", "C(Cl)", "S(=O)(=O)", "C#C", "C=C", "P(=O)(O)", "[14CH2]"]
+# Atomic numbers and symbols of elements without a type of their own, one or more of each rule for their pi electrons.
+METALS = [(25, "Mn"), (43, "Tc"), (75, "Re"), (24, "Cr"), (42, "Mo"), (74, "W"), (90, "Th"), (92, "U"), (93, "Np"), (23, "V"), (41, "Nb"), (73, "Ta"), (26, "Fe"), (44, "Ru"), (76, "Os"), (27, "Co"), (45, "Rh"), (77, "Ir"), (28, "Ni"), (46, "Pd"), (78, "Pt"), (66, "Dy"), (65, "Tb"), (83, "Bi")]
 LONGEST = 128  # bytes of a SMILES that the input guard lets through
 
 SOURCE = "source STRUCT<dataset STRING, selection STRING, generator STRING, includeChirality BOOLEAN, useBondTypes BOOLEAN, includeRingMembership BOOLEAN, countSimulation BOOLEAN, minDistance INT, maxDistance INT, use2D BOOLEAN, onlyShortestPaths BOOLEAN, torsionAtomCount INT>"
@@ -50,3 +52,12 @@ def molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     core = F.concat(*[F.when(size % 4 >= i, fragment(i)).otherwise("") for i in range(4)])
     end = F.when(size % 10 == 0, ".[Na+]").when(size % 11 == 0, "OCl(=O)=O").otherwise("")
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("mol_id"), F.concat(core, end).alias("smiles"))
+
+
+def complexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mol_id and smiles of single metal atoms with up to four single, double or triple bonds, derived from the rows of part."""
+    key = F.col("p_partkey")
+    number = (key * 7 + F.col("p_size") * 11) % 256
+    ligands = [F.get(F.array(*map(F.lit, ["", "(O)", "(=O)", "(#N)"])), (F.shiftright(number, 2 * j) % 4).cast("int")) for j in range(4)]
+    metal = F.get(F.array(*[F.lit(f"[{symbol}]") for _, symbol in METALS]), (key % len(METALS)).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("mol_id"), F.concat(metal, *ligands).alias("smiles"))

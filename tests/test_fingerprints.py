@@ -90,8 +90,22 @@ def test_atom_pairs(mols):
     assert {k: found[k] for k in PAIRS} == PAIRS and {k: plain[k] for k in PAIRS_PLAIN} == PAIRS_PLAIN
     assert found["C"] == [] and bits(AtomPairFingerprint(3), mols)["CCC"] == [] and bits(AtomPairFingerprint(0), mols)["CCC"] == []
     assert all(b < 10 for x in bits(AtomPairFingerprint(10, count_simulation=False), mols).values() for b in x)
+    assert bits(AtomPairFingerprint(max_distance=255), mols) == bits(AtomPairFingerprint(max_distance=254), mols)
     with pytest.raises(ValueError):
-        AtomPairFingerprint(max_distance=255)
+        AtomPairFingerprint(max_distance=256)
+
+
+def test_fingerprints_can_be_filtered(mols):
+    """A filter, a join and an explode on a fingerprint are planned behind its projections: the plan stays as long as without them."""
+    for fp in (EcfpFingerprint(radius=5), AtomPairFingerprint(), TopologicalTorsionFingerprint()):
+        df = fp.compute(mols).select("smiles", "fp")
+        length = lambda q: len(q._jdf.queryExecution().optimizedPlan().toString())
+        plain = length(df)
+        kept = df.where(F.size("fp.bits") >= 4)
+        assert length(kept) < 1.5 * plain and length(df.select("smiles", F.explode("fp.bits"))) < 1.5 * plain
+        assert length(df.join(df.select("fp", F.col("smiles").alias("other")), "fp")) < 3 * plain
+        want = {r["smiles"] for r in df.collect() if r["fp"] and len(r["fp"]["bits"]) >= 4}
+        assert {r["smiles"] for r in kept.collect()} == want and want
 
 
 def test_pairs_of_a_path(spark):
