@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 WORDS = 5  # words of a shingle; a shorter text is one shingle
@@ -77,8 +78,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", scale
     """key, text (null: empty), sketch, edited (text), edited_sketch, next_sketch.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or all) of the next document's, in descending key order, after the last
-    the first. A table of one row is its own next; empty tables give no rows; other columns are left aside; repeated rows follow each other.
+    the first. A table of one row is its own next; empty tables give no rows; other columns are left aside, whatever they are called; repeated rows follow each other, and rows with
+    one key follow the hash of their texts; null keys come last; texts of any length are taken whole. Keys are numbers; others raise TypeError, because their order is dealt by quantiles.
     """
+    if not isinstance(docs.schema[key].dataType, NumericType):
+        raise TypeError(f"the keys in {key} are no numbers")
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     rows = with_next(sketched(rows, "__text", "__sketch", scale), "__key", {"__text": "__next", "__sketch": "__next_sketch"})
     n = F.length("__text")

@@ -76,26 +76,28 @@ def train(positive: list[str | None], unlabelled: list[str | None], prior: float
         return Model({}, -5.0)
     prior = min(prior, 0.9)
     n, m = len(positive), len(unlabelled)
-    parts, held = [], Held()
-    for at in range(0, n + m, 128):  # in pieces, to bound the memory
-        some = [positive[k] if k < n else unlabelled[k - n] for k in range(at, min(at + 128, n + m))]
-        r, i, v = counted(some, held, feature_ids)
-        parts.append(((r + at).astype(np.int32), i.astype(np.int32), v.astype(np.float32)))
-    del held
-    rows, ids, values = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    seen = np.bincount(ids, minlength=dim)
-    among = np.bincount(ids[rows < n], minlength=dim)
+    held = Held()
+
+    def pieces() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for at in range(0, n + m, 128):
+            r, i, v = counted([positive[k] if k < n else unlabelled[k - n] for k in range(at, min(at + 128, n + m))], held, feature_ids)
+            yield (r + at).astype(np.int32), i.astype(np.int32), v.astype(np.float32)
+
+    # once to choose the features and once for their values, so that the others' values are never held together
+    seen, among = np.zeros(dim, np.int64), np.zeros(dim, np.int64)
+    for r, i, _ in pieces():
+        seen += np.bincount(i, minlength=dim)
+        among += np.bincount(i[r < n], minlength=dim)
     share = np.clip(seen / (n + m), 1e-9, 1 - 1e-9)
     apart = (among / n - (seen - among) / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
     used = np.flatnonzero((np.abs(apart) >= APART) & (seen >= 3))
     if not len(used):
         return Model({}, float(np.log(prior / (1 - prior))))
-    place = np.full(dim, -1)
-    place[used] = np.arange(len(used))
+    number = np.full(dim, -1, np.int32)
+    number[used] = np.arange(len(used))
     scale = np.log((n + m) / seen[used]).astype(np.float32)  # rare features count more
-    keep = place[ids] >= 0
-    rows, ids, values = rows[keep], place[ids[keep]], values[keep]
+    kept = [(r[number[i] >= 0], number[i[number[i] >= 0]], v[number[i] >= 0]) for r, i, v in pieces()]
+    rows, ids, values = (np.concatenate(x) for x in zip(*kept, strict=True))
     values = values * scale[ids]
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)

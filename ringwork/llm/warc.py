@@ -27,6 +27,7 @@ ARCHIVE_BYTES = 64 << 20  # an archive is closed beyond this size
 SAMPLE_BYTES = 2 << 20  # of the first records, to train an archive's dictionary
 DICTIONARY_BYTES = 64 << 10
 READ_BYTES = 1 << 18
+RECORD_BYTES = (1 << 31) - 1  # a larger record fits in no column: it raises ArchiveError, and is neither cut nor left out
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -113,9 +114,18 @@ def frames(path: str) -> Iterator[bytes]:
         if len(kept) != size:
             raise ArchiveError(f"{path}: the dictionary frame is cut short")
         if len(kept) >= 4 and struct.unpack("<I", kept[:4])[0] == FRAME:
-            kept = zstd.ZstdDecompressor().decompress(kept)
+            whole, found, at = zstd.ZstdDecompressor().decompressobj(), bytearray(), 0
+            try:  # in pieces, so that the frame need not give its size
+                while at < size and not whole.eof and len(found) <= RECORD_BYTES:
+                    found += whole.decompress(kept[at : at + READ_BYTES])
+                    at += READ_BYTES
+            except zstd.ZstdError as e:
+                raise ArchiveError(f"{path}: the dictionary: {e}") from e
+            if not whole.eof:
+                raise ArchiveError(f"{path}: the dictionary is cut short or has more than {RECORD_BYTES} bytes")
+            kept = bytes(found)
         unpacker = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(kept))
-        rest, one, out = b"", unpacker.decompressobj(), []
+        rest, one, out, size = b"", unpacker.decompressobj(), [], 0
         while True:
             data = rest or source.read(READ_BYTES)
             if not data:
@@ -127,9 +137,12 @@ def frames(path: str) -> Iterator[bytes]:
             except zstd.ZstdError as e:
                 raise ArchiveError(f"{path}: {e}") from e
             rest = b""
+            size += len(out[-1])
+            if size > RECORD_BYTES:
+                raise ArchiveError(f"{path}: a record of more than {RECORD_BYTES} bytes")
             if one.eof:
                 yield b"".join(out)
-                rest, out, one = one.unused_data, [], unpacker.decompressobj()
+                rest, out, one, size = one.unused_data, [], unpacker.decompressobj(), 0
                 if 0 < len(rest) < 4:
                     rest += source.read(READ_BYTES)
         if out:
@@ -139,7 +152,10 @@ def frames(path: str) -> Iterator[bytes]:
 def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (lower-case names) and block of a record; ArchiveError where they disagree."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise ArchiveError(f"headers that are not UTF-8: {e}") from e
     if not gap or not re.fullmatch(r"WARC/1\.[01]", lines[0]):
         raise ArchiveError(f"not a WARC record: {lines[0][:40]!r}")
     headers: dict[str, str] = {}
@@ -160,6 +176,8 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
         if (want := headers.get("warc-payload-digest")) and want != f"sha1:{sha1_name(block)}":
             raise ArchiveError(f"{headers['warc-record-id']}: the payload's digest differs")
     elif headers["warc-type"] == "revisit":
+        if not re.fullmatch("[0-9]+", headers.get("x-payload-length", "")):
+            raise ArchiveError(f"{headers['warc-record-id']}: a revisit without its payload's length")
         if not all(k in headers for k in ("warc-refers-to", "warc-payload-digest", "warc-profile")):
             raise ArchiveError(f"{headers['warc-record-id']}: a revisit of nothing")
     return headers, block
@@ -218,7 +236,7 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the archives in column path: record_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
     Each task streams its archives frame by frame. An archive or record that breaks the format, or whose lengths or digests disagree, raises
-    ArchiveError. A revisit has the digest and length of its payload, no payload.
+    ArchiveError. A revisit has the digest and length of its payload, no payload; a record without a payload digest gets its block's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +256,9 @@ def read_archives(paths: DataFrame, with_payload: bool = True) -> DataFrame:
                     urn = re.compile(r"<urn:page:(.*)>")
                     own = urn.fullmatch(h["warc-record-id"])
                     refers = urn.fullmatch(h.get("warc-refers-to", ""))
-                    length = len(block) if h["warc-type"] == "response" else int(h.get("x-payload-length", len(block)))
-                    row = (own[1] or None if own else h["warc-record-id"], h.get("warc-target-uri"), h["warc-type"], refers[1] if refers else None, length, h["warc-payload-digest"].removeprefix("sha1:"), block)
+                    length = int(h["x-payload-length"]) if h["warc-type"] == "revisit" else len(block)
+                    digest = h.get("warc-payload-digest", f"sha1:{sha1_name(block)}").removeprefix("sha1:")
+                    row = (own[1] or None if own else h["warc-record-id"], h.get("warc-target-uri"), h["warc-type"], refers[1] if refers else None, length, digest, block)
                     held.append(row if with_payload else row[:-1])
                     size += len(block) * with_payload
                     if len(held) >= 1000 or size >= 16 << 20:

@@ -51,6 +51,17 @@ def test_broken_archives(tmp_path):
         open(path, "wb").write(broken)
         with pytest.raises(warc.ArchiveError):
             list(warc.frames(path))
+    frame = zstd.ZstdCompressor(write_content_size=False).compressobj()
+    unsized = frame.compress(b"words of a dictionary " * 9) + frame.flush()
+    open(path, "wb").write(struct.pack("<II", warc.SKIPPABLE, len(unsized)) + unsized)
+    assert list(warc.frames(path)) == []
+    open(path, "wb").write(struct.pack("<II", warc.SKIPPABLE, len(unsized) - 9) + unsized[:-9])
+    with pytest.raises(warc.ArchiveError):
+        list(warc.frames(path))
+    revisit = warc.record(1, "u", b"payload", 2)
+    for broken in (revisit.replace(b"X-Payload-Length: 7", b"X-Payload-Length: x"), revisit.replace(b"X-Payload-Length", b"X-Other-Length"), revisit.replace(b"URI: u", b"URI: \xff")):
+        with pytest.raises(warc.ArchiveError):
+            warc.parsed(broken)
     good = warc.record(1, "u", b"payload", None)
     for broken in (good.replace(b"WARC/1.1", b"HTTP/1.1"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good.replace(b"payload\r", b"Payload\r"), good.replace(b"WARC-Date", b"Other-Date"), good[:-2], good.replace(b"WARC-Type: response", b"WARC-Type: revisit")):
         with pytest.raises(warc.ArchiveError):

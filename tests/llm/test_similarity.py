@@ -155,6 +155,11 @@ def test_likeness_and_merging(spark):
     assert tuple(r) == (0.5, 1.0, 0.0, 1.0) and df.agg(fingerprints.merged(F.col("s")).alias("m")).first()["m"] == [low + 1, low + 5, low + 9]
 
 
+def test_keys_of_sketches_are_numbers(spark):
+    with pytest.raises(TypeError):
+        fingerprints.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_sketch_query(spark):
     import hashlib
 

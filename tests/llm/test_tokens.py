@@ -30,6 +30,26 @@ def test_tree_concatenation_is_exact(leaf):
         assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_texts_are_joined(spark):
+    """Whole texts of the table go up the tree, with leaves as in the query, and a small table of units changes nothing."""
+    tok = bpe.tokenizer(WORD)
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for leaf, limit in ((bpe.LEAF, bpe.LIMIT), (100, 10_000)):
+        encoder = bpe.Encoder(WORD, leaf, limit)
+        assert encoder.known_form
+        for k in range(0, len(texts), 20):
+            ids, at = encoder.encode(texts[k : k + 20])
+            for j, t in enumerate(texts[k : k + 20]):
+                assert ids[at[j] : at[j + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+        assert encoder.joins > 0 and (leaf > 100 or encoder.joins > len(texts))
+
+
+def test_other_tokenizers_encode_whole_texts():
+    encoder = bpe.Encoder(BYTE)
+    ids, at = encoder.encode(["a b  c\n" * 3000, None])
+    assert not encoder.known_form and ids.tolist() == bpe.tokenizer(BYTE).encode("a b  c\n" * 3000, add_special_tokens=False).ids and at.tolist() == [0, len(ids), len(ids)]
+
+
 def test_byte_encoder_is_exact():
     rng, tok = random.Random(3), bpe.tokenizer(BYTE)
     texts = [mixed(rng) for _ in range(300)] + ["", "x" * 3000, "a. b, c", "a\n\nb", "a.\nB", "\na "]
