@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringwork.functions.hashing import counts, fold, layered, settled, with_settled
+from ringwork.functions.hashing import counts, fold, layered, with_settled
 from ringwork.functions.invariants import with_adjacency, with_atom_invariants, with_bond_invariants, with_centers
 
 HELPERS = ("__adj", "__dox", "__inv", "__binv", "__nbh", "__live", "__seen", "__new", "__best", "__atoms")
@@ -49,13 +49,13 @@ def with_layers(df: DataFrame, radius: int, mol: str = "mol", use_bond_types: bo
             "__layer0": F.col("__inv"),
         }
     )
-    for k in range(radius):  # settled, or what the optimizer derives from equal columns grows with each layer
-        df = df.withColumn("__new", settled(F.transform("__adj", taken_in(k))))
+    for k in range(radius):
+        df = df.withColumn("__new", F.transform("__adj", taken_in(k)))
         # of equal bond sets the first in order wins: sorted by set, invariant and place, each set's first row stands behind another set's
-        df = df.withColumn("__best", settled(F.array_sort(F.filter("__new", lambda x: x.isNotNull()))))
+        df = df.withColumn("__best", F.array_sort(F.filter("__new", lambda x: x.isNotNull())))
         first = lambda x, i: ((i == 0) | (F.get("__best", i - 1)["nbh"] != x["nbh"])) & ~F.array_contains("__seen", x["nbh"])
-        df = df.withColumn("__best", settled(F.filter("__best", first)))
-        df = df.withColumn("__atoms", settled(F.transform("__best", lambda x: x["atom"])))
+        df = df.withColumn("__best", F.filter("__best", first))
+        df = df.withColumn("__atoms", F.transform("__best", lambda x: x["atom"]))
         after = {
             f"__layer{k + 1}": F.transform("__best", lambda x: x["inv"]),
             "__seen": F.concat("__seen", F.transform("__best", lambda x: x["nbh"])),
@@ -63,7 +63,7 @@ def with_layers(df: DataFrame, radius: int, mol: str = "mol", use_bond_types: bo
             "__nbh": F.zip_with("__nbh", "__new", lambda old, x: F.coalesce(x["nbh"], old)),
             "__inv": F.transform("__new", lambda x: F.coalesce(x["inv"], F.lit(0).cast("bigint"))),
         }
-        df = df.withColumns({name: settled(value) for name, value in after.items()})
+        df = df.withColumns(after)
     names = [f"__layer{k}" for k in range(radius + 1)]
     return df.withColumn(out, F.when(F.col(mol).isNotNull(), F.array(*names))).drop(*names, *HELPERS)
 
