@@ -125,18 +125,19 @@ def fold(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES) -> Model:
-    """A model from the texts of labelled rows that are not held out.
+    """A model from texts confirmed as positive and from unlabelled texts, none of them held out.
 
-    At most max_positives texts with label 1, and max_unlabelled texts of any label (which training does not see), both in the order of
-    their keys' hash, and of either as many as have max_bytes together; that bounds what the driver holds. The class prior is the share of 1 among all those rows. Rows with null keys or
+    At most the texts of max_positives rows with label 1, and of max_unlabelled rows of docs, whether they have labels or not (training does not see them), both in the order of
+    their keys' hash, and of either as many as have max_bytes together; that bounds what the driver holds. The class prior is the share of 1 among all labelled rows that are not held out, which are taken as a fair sample of docs. Rows with null keys or
     labels are left out; a null text counts as empty; a key with several rows or texts gives each of them; without rows all scores are low. Columns of other names are not looked at.
     """
     rows = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").alias("__label")).where(F.col("__label").isNotNull() & F.col("__key").isNotNull() & ~fold(F.col("__key")))
     prior = rows.agg(F.avg((F.col("__label") == 1).cast("double"))).first()[0] or 0.0
     order = [F.xxhash64("__key"), F.col("__key")]
     picked = rows.where("__label = 1").orderBy(*order).limit(max_positives).select("__key", F.lit(True).alias("__positive"))
-    picked = picked.unionByName(rows.orderBy(*order).limit(max_unlabelled).select("__key", F.lit(False).alias("__positive")))
-    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(picked), "__key")
+    given = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).where(F.col("__key").isNotNull() & ~fold(F.col("__key")))
+    picked = picked.unionByName(given.select("__key", F.lit(False).alias("__positive")).orderBy(*order).limit(max_unlabelled)).distinct()
+    texts = given.join(F.broadcast(picked), "__key")
     upto = F.sum(F.octet_length(F.coalesce("__text", F.lit("")))).over(Window.partitionBy("__positive").orderBy(*order, F.xxhash64("__text")))
     texts = texts.withColumn("__upto", upto).where(F.col("__upto") <= max_bytes).select("__positive", "__text").collect()
     return train(sorted(r[1] or "" for r in texts if r[0]), sorted(r[1] or "" for r in texts if not r[0]), prior)
