@@ -1,9 +1,12 @@
 """The toxicity classifier on held-out rows, and the pipeline's stages against brute-force versions."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from ringwork.llm import suffixes, toxicity
@@ -13,7 +16,56 @@ from test_similarity import brute_classes
 from test_tokens import held
 from tests_path import SF
 
-LARGER = "/root/testdata/sf0.1"
+MIDDLE, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+
+
+def features(text):
+    """Value by feature: the square root of its count among the text's words."""
+    found = [w for w in re.split(r"[^\w]+", (text or "").lower()) if w]
+    names = Counter(f for w in found for f in (f"={w}", f"4^{w[:4]}", f"5^{w[:5]}", f"6^{w[:6]}"))
+    hashed = Counter()
+    for f, n in names.items():
+        hashed[xxhash.xxh3_64_intdigest(f.encode()) % 2**17] += n
+    return {f: (n / len(found)) ** 0.5 for f, n in hashed.items()}
+
+
+def brute_scores(positive, unlabelled, prior, texts):
+    """(scores of texts, steps that went the other way) of the non-negative risk over a dense matrix; its slopes are held against differences of the risk."""
+    pos, unl = list(map(features, positive)), list(map(features, unlabelled))
+    p, u, n, m = Counter(f for x in pos for f in x), Counter(f for x in unl for f in x), len(pos), len(unl)
+    used = []
+    for f in sorted(p.keys() | u.keys()):
+        both = (p[f] + u[f]) / (n + m)
+        if p[f] + u[f] >= 3 and both < 1 and abs(p[f] / n - u[f] / m) >= 4 * (both * (1 - both) * (1 / n + 1 / m)) ** 0.5:
+            used.append(f)
+    rare = np.log([(n + m) / (p[f] + u[f]) for f in used])
+    matrix = lambda rows: np.array([[x.get(f, 0.0) for f in used] for x in rows]) * rare
+    of_pos, of_unl = matrix(pos), matrix(unl)
+    cost = lambda g: np.log1p(np.exp(-g))  # of taking g as positive
+
+    def risks(shift):
+        """The positives' risk and the corrected one of the negatives, at w and b, or with each weight shifted (and the bias last)."""
+        gp, gu = of_pos @ w + b, of_unl @ w + b
+        if shift:
+            gp, gu = (np.column_stack([g[:, None] + shift * x, g + shift]) for g, x in ((gp, of_pos), (gu, of_unl)))
+        return prior * cost(gp).mean(0), cost(-gu).mean(0) - prior * cost(-gp).mean(0)
+
+    w, b, away = np.zeros(len(used)), np.log(prior / (1 - prior)), 0
+    mean, square, eps = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 1e-4
+    for step in range(1, 201):
+        xp, xu = (np.column_stack([x, np.ones(len(x))]) for x in (of_pos, of_unl))
+        sp, su = (1 / (1 + np.exp(-x @ np.append(w, b))) for x in (xp, xu))
+        up, down = prior * xp.T @ (sp - 1) / n, xu.T @ su / m - prior * xp.T @ sp / n
+        if step % 20 == 1:
+            for slope, more, less in zip((up, down), risks(eps), risks(-eps), strict=True):
+                assert np.allclose(slope, (more - less) / (2 * eps), rtol=0, atol=1e-7)
+        below = risks(0)[1] < 0
+        away += below
+        slope = (-down if below else up + down) + 1e-5 * np.append(w, 0)
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
+        move = 0.6 * (1 - step / 201) * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return 1 / (1 + np.exp(-np.clip(matrix(map(features, texts)) @ w + b, -30, 30))), away
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +86,29 @@ def test_held_out_accuracy(labelled):
     assert (order[toxic == 1].mean() - (toxic.sum() - 1) / 2) / (len(test) - toxic.sum()) > 0.94
 
 
+def test_training_against_brute_force():
+    """Where the unlabelled hold positives too, and the prior is high enough for the corrected risk to fall below zero."""
+    rng = np.random.default_rng(8)
+    text = lambda bad: " ".join([*(f"word{i}" for i in rng.integers(0, 60, 25)), *(f"bad{i}" for i in rng.integers(0, 12, 5 * bad))])
+    positive, unlabelled = [text(1) for _ in range(60)], [text(k % 4 == 0) for k in range(240)]
+    turned = {}
+    for prior in (0.1, 0.25, 0.5):
+        texts = [*positive, *unlabelled, None, ""]
+        want, turned[prior] = brute_scores(positive, unlabelled, prior, texts)
+        assert np.abs(toxicity.train(positive, unlabelled, prior).score(texts) - want).max() < 1e-5, prior
+    assert turned[0.5] > 0
+
+
+def test_query_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
+    seen = {k for k in docs if zlib.crc32(str(k).encode()) % 5}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    positive = [docs[k] for k, toxic in labels.items() if toxic and k in docs]
+    want, _ = brute_scores(positive, [docs[k] for k in seen], sum(labels.values()) / len(labels), list(docs.values()))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op8_toxicity"](spark, MIDDLE).collect()}
+    assert max(abs(got[k] - x) for k, x in zip(docs, want, strict=True)) < 1e-5
+
+
 def test_scores(spark, docs, nothing):
     model = toxicity.train(["bad word here"] * 30, ["bad word here"] * 10 + [f"good text {k}" for k in range(200)], 0.05)
     rows = toxicity.scored(docs, model).collect()
