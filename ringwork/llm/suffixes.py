@@ -9,6 +9,7 @@ repeats, each with all its occurrences.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ LENGTH = 200
 GRAM = 64
 GROUP = 16384  # different contexts of an anchor that one suffix array takes; larger groups are split
 ARRAY_BYTES = 1 << 20  # contexts are gathered up to about this size for a suffix array
+PIECE = 1 << 17  # places whose hashes are made at once
 STEP = 8  # bytes before an anchor by which a large group is split
 HOT = 1000  # a context with over one of so many of all occurrences is hot; so there are fewer than HOT of them, whatever the input
 WIDE = np.random.RandomState(8).randint(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,10 +33,23 @@ TABLE = np.random.RandomState(7).randint(0, 1 << 32, 256, dtype=np.uint64).astyp
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """Places of the anchors of all strings of `length` bytes that lie in one text; data: the texts' bytes, one after another, ends: where each ends."""
+    last = len(data) - length + 1
+    if last < 1:
+        return np.empty(0, np.int64)
+    start = np.concatenate([[0], ends[:-1]])
+    inside = np.zeros(last + 1, np.int8)
+    long = ends - start >= length
+    np.add.at(inside, start[long], 1)
+    np.add.at(inside, ends[long] - length + 1, -1)
+    inside = np.cumsum(inside[:last], dtype=np.int8) > 0
+    changes = lambda found: found[np.flatnonzero(np.diff(found, prepend=-1))]  # noqa: E731  they never go back
+    return changes(np.concatenate([changes(a + least_places(data[a : a + PIECE + length - 1], length, gram)[inside[a : a + PIECE]]) for a in range(0, last, PIECE)]))
+
+
+def least_places(data: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For each string of `length` bytes, where the smallest hash of `gram` bytes in it is, the first of equal ones."""
     window = length - gram + 1
     n = len(data) - gram + 1
-    if n < window:
-        return np.empty(0, np.int64)
     h, size = TABLE[data], 1
     while size < gram:  # the hash of 2 * size bytes from those of size bytes
         h = h[:-size] * np.uint32(2654435761 + 2 * size) + (h[size:] ^ (h[size:] >> np.uint32(15)))
@@ -46,14 +61,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         size *= 2
     if size < window:
         least = np.minimum(least[: size - window], least[window - size :])
-    last = len(data) - length + 1
-    start = np.concatenate([[0], ends[:-1]])
-    inside = np.zeros(last + 1, np.int64)
-    long = ends - start >= length
-    np.add.at(inside, start[long], 1)
-    np.add.at(inside, ends[long] - length + 1, -1)
-    found = (least[np.cumsum(inside[:last]) > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return found[np.flatnonzero(np.diff(found, prepend=-1))]  # they never go back
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
@@ -86,24 +94,33 @@ def suffix_array(texts: list[bytes], places: list[tuple[int, int]], least: int)
     """
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
     data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)  # a byte that UTF-8 doesn't have
-    if len(data) < least:
-        return
-    at = np.flatnonzero((np.repeat(begin[1:] - 1, np.diff(begin)) - np.arange(len(data)))[: len(data) - least + 1] >= least)
-    if len(at) < 2:
+    some = np.maximum(np.diff(begin) - least, 0)  # suffixes of each text
+    n = int(some.sum())
+    if n < 2:
         return
-    keys = window_hashes(data, least)[at]
-    order = np.argsort(keys, kind="stable")
-    at, keys = at[order], keys[order]
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.arange(n, dtype=kind)
+    at += np.repeat((begin[:-1] - np.cumsum(some) + some).astype(kind), some)
+    keys = np.empty(n, np.uint64)
+    for a in range(0, len(data) - least + 1, PIECE):
+        x, y = np.searchsorted(at, [a, a + PIECE])
+        keys[x:y] = window_hashes(data[a : a + PIECE + least - 1], least)[at[x:y] - a]
+    order = np.argsort(keys, kind="stable").astype(kind)
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    text = np.searchsorted(begin, at, side="right") - 1
-    offset = at - begin[text]
-    before = np.where(offset > 0, data[at - 1].astype(np.int64), -1)
+    del keys
+    at = at[order]
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), some)[order]
+    del order
+    offset = at - begin.astype(kind)[text]
+    before = np.where(offset > 0, data[at - 1].astype(np.int16), np.int16(-1))
     where = np.array(places, np.int64).reshape(-1, 2)
-    place = (where[text, 0] << 32) + where[text, 1] + offset
+    place = ((where[:, 0] << 32) + where[:, 1])[text]
+    place += offset
     low = np.minimum.reduceat(before, first)
     several = (low != np.maximum.reduceat(before, first)) | (low == -1)
     several &= np.minimum.reduceat(place, first) != np.maximum.reduceat(place, first)
-    ends = np.append(first[1:], len(at))
+    ends = np.append(first[1:], n)
     for a, b in zip(first[several].tolist(), ends[several].tolist(), strict=True):
         rest = sorted((texts[t][o + least :], t, o, x, p) for t, o, x, p in zip(text[a:b].tolist(), offset[a:b].tolist(), before[a:b].tolist(), place[a:b].tolist(), strict=True))
         common = [0, *(least + shared(x[0], y[0]) for x, y in zip(rest, rest[1:], strict=False))]
@@ -162,7 +179,7 @@ def may_repeat(texts: list[bytes], offs: list[int], least: int = LENGTH) -> list
 
 def covered_parts(texts: list[bytes], places: list[tuple[int, int]], least: int = LENGTH) -> list[tuple[int, int, int]]:
     """(text, start, end) of the maximal parts of the texts that repeats cover."""
-    longest: dict[int, list[tuple[int, int]]] = {}
+    texts_of, starts, stops = array("q"), array("q"), array("q")  # of the longest repeat that begins at each suffix
     for text, offset, common, before, place in suffix_array(texts, places, least):
         # of the repeats that begin at a suffix only the longest matters; inner intervals come before outer ones
         onward = list(range(len(text) + 1))
@@ -170,23 +187,23 @@ def covered_parts(texts: list[bytes], places: list[tuple[int, int]], least: int
             i = first
             while i <= last:
                 if onward[i] == i:
-                    longest.setdefault(text[i], []).append((offset[i], offset[i] + size))
+                    texts_of.append(text[i])
+                    starts.append(offset[i])
+                    stops.append(offset[i] + size)
                     onward[i] = last + 1
                     i += 1
                 else:
                     onward[i], i = max(onward[i], last + 1), onward[i]
-    out = []
-    for t, spans in longest.items():
-        spans.sort()
-        start, end = spans[0]
-        for s, e in spans[1:]:
-            if s > end:
-                out.append((t, start, end))
-                start, end = s, e
-            else:
-                end = max(end, e)
-        out.append((t, start, end))
-    return out
+    if not texts_of:
+        return []
+    t, s, e = (np.frombuffer(x, np.int64) for x in (texts_of, starts, stops))
+    order = np.lexsort((s, t))
+    t, s, e = t[order], s[order], e[order]
+    base = t * (e.max() + 1)  # parts of different texts are apart
+    reach = np.maximum.accumulate(base + e)
+    first = np.flatnonzero(np.concatenate([[True], (base + s)[1:] > reach[:-1]]))
+    end = (reach - base)[np.append(first[1:], len(t)) - 1]
+    return list(zip(t[first].tolist(), s[first].tolist(), end.tolist(), strict=True))
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:

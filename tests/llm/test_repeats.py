@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -108,6 +109,37 @@ def test_parts_of_one_place_are_no_repeats():
     assert suffixes.covered_parts([b"abcdefgh", b"cdefghij"], [(0, 0), (0, 2)], 5) == []
 
 
+def peak_mb(made):
+    tracemalloc.start()
+    out = made()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_anchors_of_long_texts_take_little_memory():
+    data = np.random.RandomState(3).randint(97, 123, 1 << 21).astype(np.uint8)
+    ends = np.array([5, 1 << 20, (1 << 20) + 100, 1 << 21])
+    found, peak = peak_mb(lambda: suffixes.anchors(data, ends))
+    assert peak < 25  # hashes of all places at once take over 60 MB
+    hashes = suffixes.TABLE[data]
+    for size in (1, 2, 4, 8, 16, 32):
+        hashes = hashes[:-size] * np.uint32(2654435761 + 2 * size) + (hashes[size:] ^ (hashes[size:] >> np.uint32(15)))
+    inside = [(5, 1 << 20), ((1 << 20) + 100, 1 << 21)]
+    for a, b in [(x, x + 3000) for x, _ in inside] + [(y - 3000, y) for _, y in inside] + [(suffixes.PIECE - 1500, suffixes.PIECE + 1500)]:
+        want = {s + int(hashes[s : s + suffixes.LENGTH - suffixes.GRAM + 1].argmin()) for s in range(a, b - suffixes.LENGTH + 1)}
+        assert want <= set(found.tolist()) and {f for f in found.tolist() if a + 200 <= f < b - 400} <= want
+
+
+def test_arrays_of_large_groups_take_little_memory():
+    rng = random.Random(5)
+    common = bytes(rng.choices(b"abcdefgh", k=230))
+    texts = [bytes(rng.choices(b"abcdefgh", k=50)) + common + bytes(rng.choices(b"abcdefgh", k=56)) for _ in range(8192)]
+    parts, peak = peak_mb(lambda: suffixes.covered_parts(texts, [(k, 0) for k in range(len(texts))]))
+    assert peak < 70  # it was over 110 MB
+    assert [t for t, _, _ in parts] == list(range(8192)) and all(s <= 50 and e >= 280 for _, s, e in parts)
+
+
 def check_bytes(found, texts):
     keys = list(texts)
     data = [(texts[k] or "").encode() for k in keys]
