@@ -13,21 +13,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from ringwork.llm.bpe import LETTERS, MARKS, ODD_SPACE, as_letters, marks_close, tokenizer
-from ringwork.llm.held import LIMIT, Held
+from ringwork.llm.bpe import LETTERS, MARKS, ODD_SPACE, marks_close, tokenizer
+from ringwork.llm.held import Held
 
 WINDOWS = 96  # windows divided together
 REST = 256  # longest piece of a document's rest
 UNIT = re.compile(r"\s+(?!\S)| ?\S+|\s")
-SPACE_LETTER = LETTERS[32]
+CODES = np.array([10 if b == 10 else ord(LETTERS[b]) for b in range(256)], "<u2")  # each byte's letter; line ends stay, between words
 BARE = "\x01"  # before a unit that no space stands before
 UNEVEN = ("  ", " \n", "\n ", "\n\n", *"\t\v\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))  # space that is not single
 END_ID = 0
+TABLE = 48 << 20  # bytes of a table of units
 
 
 class ByteEncoder:
@@ -37,58 +39,87 @@ class ByteEncoder:
     Texts with special tokens or control characters that count as space only here go to the library as they are.
     """
 
-    def __init__(self, path: str, limit: int = LIMIT):
+    def __init__(self, path: str, limit: int = TABLE):
         self.tok, self.held = tokenizer(path), Held(limit)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = [*ODD_SPACE, BARE, *(t.content for t in self.tok.get_added_tokens_decoder().values())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def units_of(self, text: str | None) -> list[str] | None:
+    def units_of(self, text: str | None, odd: list[str], uneven: list[str]) -> str | list[str] | None:
         """The units of a text: words that a space stands before, and after BARE what none stands before; None if it can't be cut so.
 
-        Marks are set apart where a letter or digit stands before them and space behind: pieces end there.
+        They are one string with a space between each two, or a list if units hold spaces. Marks are set apart where a letter or digit stands before them and
+        space behind: pieces end there. odd, uneven: those of self.odd and UNEVEN that any text of the call holds.
         """
-        if not text or any(c in text for c in ODD_SPACE) or BARE in text or any(s in text for s in self.special):
+        if not text or odd and any(x in text for x in odd):
             return None
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
+        if text[0] in " \n" or text[-1] in " \n" or uneven and any(x in text for x in uneven):
             return [u[1:] if u[0] == " " and len(u) > 1 else BARE + u for u in UNIT.findall(text)]
         if marks_close(text):
             text = text.replace(".", f" {BARE}.").replace(",", f" {BARE},")
         else:
             text = MARKS.sub(rf" {BARE}\g<0>", text)
-        return (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" ")
+        return BARE + text.replace("\n", f" {BARE}\n {BARE}")
 
     def learn(self, units: set[str]) -> dict[str, bytes]:
         """Remember ids of units not seen before; those of long units, which hardly come again, are given back instead."""
         made: dict[str, bytes] = {}
         plain: dict[str, str] = {}
-        tokenize = self.tok.model.tokenize
+        words = []  # each is one piece
         for u in units:
-            word, space = (u[1:], "") if u[0] == BARE else (u, SPACE_LETTER)
-            if len(u) <= 256 and word.isalpha():  # one piece
-                made[u] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(space + as_letters(word))])
+            if len(u) <= 256 and (u[1:] if u[0] == BARE else u).isalpha():
+                words.append(u)
             else:
-                plain[u] = " " + word if space else word
+                plain[u] = u[1:] if u[0] == BARE else " " + u
+
+        def keep(units: list[str], ids: list[int], ends: np.ndarray) -> None:
+            data, start = np.array(ids, "<u4").tobytes(), 0
+            for u, end in zip(units, (4 * ends).tolist(), strict=True):
+                made[u] = data[start:end]
+                start = end
+
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            data = "\n".join([u[1:] if u[0] == BARE else " " + u for u in some]).encode()
+            tokens = list(map(self.tok.model.tokenize, CODES[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le").split("\n")))
+            keep(some, [t.id for word in tokens for t in word], np.cumsum(list(map(len, tokens))))
         short = [u for u in plain if len(u) <= 256]
         if short:
             e = self.tok.encode([plain[u] for u in short], is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(short) + 1)) * 4
-            ids, start = np.array(e.ids, "<u4").tobytes(), 0
-            for u, end in zip(short, ends.tolist(), strict=True):
-                made[u] = ids[start:end]
-                start = end
+            keep(short, e.ids, np.searchsorted(np.array(e.word_ids, np.int64), np.arange(1, len(short) + 1)))
         self.held.add(made)
         return {u: self.whole(plain[u]) for u in plain if len(u) > 256}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text. Units are cut, told apart and joined as Arrow arrays; only the different ones of a call are looked up."""
         self.held.turn()
-        split = list(map(self.units_of, texts))
-        new = self.held.unknown(set().union(*filter(None, split)))
-        long = self.learn(new) if new else {}
-        table = {**self.held.now, **long} if long else self.held.now
-        return [b"".join(map(table.__getitem__, s)) if s else self.whole(t) if t else b"" for s, t in zip(split, texts, strict=True)]
+        every = "".join(filter(None, texts))
+        odd, uneven = [x for x in self.odd if x in every], [x for x in UNEVEN if x in every]
+        split = [self.units_of(t, odd, uneven) for t in texts]
+        out = [self.whole(t) if t and s is None else b"" for s, t in zip(split, texts, strict=True)]
+        even = [k for k, s in enumerate(split) if isinstance(s, str)]
+        uneven = [k for k, s in enumerate(split) if isinstance(s, list)]
+        if not even and not uneven:
+            return out
+        cut = pc.split_pattern(pa.array([split[k] for k in even], pa.large_string()), " ")
+        units = pa.concat_arrays([cut.flatten(), pa.array([u for k in uneven for u in split[k]], pa.large_string())]).dictionary_encode()
+        ends = np.cumsum([0, *pc.list_value_length(cut).to_pylist(), *(len(split[k]) for k in uneven)])
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.held.now.get, distinct))
+        missing = [k for k, v in enumerate(values) if v is None]
+        if missing:
+            new = self.held.unknown([distinct[k] for k in missing])
+            long = self.learn(new) if new else {}
+            for k in missing:
+                u = distinct[k]
+                values[k] = long[u] if u in long else self.held.now[u]
+        ids = pa.array(values, pa.large_binary()).take(units.indices)
+        _, places, data = ids.buffers()
+        at = np.frombuffer(places, np.int64)[ids.offset + ends].tolist()
+        for k, start, end in zip(even + uneven, at, at[1:], strict=False):
+            out[k] = data[start:end].to_pybytes()
+        return out
 
 
 def divide(lengths: list[int], windows: int) -> list[list[int]]:

@@ -56,6 +56,35 @@ def test_byte_encoder_is_exact():
     assert packing.ByteEncoder(BYTE).encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+class Counted(dict):
+    asked = 0
+
+    def __getitem__(self, key):
+        Counted.asked += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        Counted.asked += 1
+        return super().get(key, default)
+
+
+def test_known_units_are_looked_up_once_in_a_call():
+    encoder, texts = packing.ByteEncoder(BYTE), ["the house of the end, of the\n" * 500 + "end"] * 4
+    want = encoder.encode(texts)
+    encoder.held.now = Counted(encoder.held.now)
+    Counted.asked = 0
+    assert encoder.encode(texts) == want and Counted.asked < 50  # there are 16,000 units, of 8 kinds
+
+
+def test_byte_encoder_with_small_table():
+    rng, tok = random.Random(4), bpe.tokenizer(BYTE)
+    texts = [None, "", "é" * 300 + " b", " x  y\n", "a\x1cb", "a\x01b", "a<|endoftext|>b", *(mixed(rng) for _ in range(200))]
+    encoder = packing.ByteEncoder(BYTE, 2000)
+    for k in range(0, len(texts), 9):
+        assert encoder.encode(texts[k : k + 9]) == [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts[k : k + 9]]
+    assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
+
+
 def test_codec(docs, unique, nothing):
     tok = bpe.tokenizer(WORD)
     rows = bpe.encode_decode(docs, WORD).collect()
