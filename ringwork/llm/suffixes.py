@@ -260,29 +260,37 @@ def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def contexts(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """reps (g, n, __id, __hash, lo, hi, off) with ctx, the bytes of each context."""
-    per = reps.groupBy("__id", "__hash").agg(F.collect_list(F.struct("g", "n", "lo", "hi", "off")).alias("__r"))
+    """reps (g, n, __id, __hash, lo, hi, off) with ctx, the bytes of each context.
+
+    Documents and reps are sorted together, once: a task reads a document, or its repeated rows, and then the reps that lie in it.
+    """
     kind = reps.schema["__id"].dataType.simpleString()
+    names = ["g", "n", "__id", "__hash", "lo", "hi", "off"]
+    no = [F.lit(None).cast(t).alias(c) for c, t in (("g", "long"), ("n", "long"), ("lo", "int"), ("hi", "int"), ("off", "int"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
 
         press = zstd.ZstdDecompressor()
+        held = data = None
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                b = whole.slice(at, 64)
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
                 row, out = [], []
-                for k, (z, rs) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    data = press.decompress(z)
-                    for r in rs:
-                        row.append(k)
-                        out.append((r["g"], r["n"], r["lo"], r["hi"], r["off"], data[r["lo"] : r["hi"]]))
+                for k, (lo, hi, z) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(7).to_pylist(), strict=True)):
+                    if z is not None:
+                        held, data = z, None
+                        continue
+                    if data is None:
+                        data = press.decompress(held)
+                    row.append(k)
+                    out.append(data[lo:hi])
                 if out:
-                    g, n, lo, hi, off, ctx = zip(*out, strict=True)
                     taken = pa.array(row, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64()), b.column(0).take(taken), b.column(1).take(taken), *(pa.array(x, pa.int32()) for x in (lo, hi, off)), pa.array(ctx, pa.binary())], names=["g", "n", "__id", "__hash", "lo", "hi", "off", "ctx"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(taken) for k in range(7)), pa.array(out, pa.binary())], names=[*names, "ctx"])
 
-    both = joined(packed(docs), per, "inner").select("__id", "__hash", "__z", "__r")
+    both = packed(docs).select("*", *no).select(*names, "__z").unionByName(reps.select(*names, F.lit(None).cast("binary").alias("__z")))
+    both = both.repartition("__id", "__hash").sortWithinPartitions("__id", "__hash", F.col("g").asc_nulls_first())
     return both.mapInArrow(run, f"g long, n long, __id {kind}, __hash long, lo int, hi int, off int, ctx binary")
 
 

@@ -140,6 +140,20 @@ def test_arrays_of_large_groups_take_little_memory():
     assert [t for t, _, _ in parts] == list(range(8192)) and all(s <= 50 and e >= 280 for _, s, e in parts)
 
 
+def test_contexts_are_cut_once(spark):
+    texts = {0: "né" * 300 + "z" * 400, 1: "x" * 250, None: "y" * 300}
+    docs = suffixes.keyed(spark.createDataFrame([*texts.items(), *3 * [(0, texts[0])], (0, "w" * 500)], "doc_id long, text string").repartition(3), "doc_id", "text")
+    names = {r["__bytes"]: r["__hash"] for r in docs.collect()}
+    reps = [(10 * k + i, 1, k, names[t.encode()], lo, lo + 200, 7) for k, t in ((0, texts[0]), (1, texts[1])) for i, lo in enumerate((0, 1, 50))]
+    reps += [(99, 2, None, names[texts[None].encode()], 90, 300, 5), (98, 2, 0, names[b"w" * 500], 3, 9, 5)]
+    schema = "g long, n long, __id long, __hash long, lo int, hi int, off int"
+    found = suffixes.contexts(spark.createDataFrame(reps, schema).repartition(2), docs)
+    assert found.columns == [*(x.split()[0] for x in schema.split(", ")), "ctx"]
+    rows = sorted((tuple(r) for r in found.collect()), key=lambda r: r[0])
+    whole = {h: b for b, h in names.items()}
+    assert rows == [(*r, whole[r[3]][r[4] : r[5]]) for r in sorted(reps)]  # a context came once for each repeated row
+
+
 def check_bytes(found, texts):
     keys = list(texts)
     data = [(texts[k] or "").encode() for k in keys]
