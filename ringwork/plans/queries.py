@@ -14,7 +14,7 @@ from ringwork.operators.ecfp import CountEcfpFingerprint, EcfpFingerprint, Layer
 from ringwork.operators.maccs import MaccsFingerprint, aromatic_ring_count, atom_keys, fragment_count
 from ringwork.operators.torsion import TopologicalTorsionFingerprint, with_paths
 from ringwork.schema import BITS
-from ringwork.sources.prepare import explicit_h, prepare, try_prepare
+from ringwork.sources.prepare import explicit_h, once_each, prepare, try_prepare
 from ringwork.sources.readers import complexes, guarded, molecules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,15 @@ PATH_KEYS = (14, 17, 24, 31, 33, 40, 41, 52, 60, 63, 67, 71, 77, 78, 94, 99, 102
 ATOM_KEYS = (20, 27, 29, 35, 42, 44, 46, 49, 57, 84, 88, 103, 121, 131, 134, 139, 140, 141, 142, 146, 149, 151, 159, 160, 161, 162, 164, 165)
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(guarded(molecules(spark, sf_dir)), mode="DROPMALFORMED").drop("parse_error")
+def same(df: DataFrame) -> DataFrame:
+    return df
+
+
+def prepared(spark: SparkSession, sf_dir: str, work: Callable[[DataFrame], DataFrame], *columns: Column | str, normalized: bool = True) -> DataFrame:
+    """mol_id and the columns of what work makes of the molecules, raw ones unguarded; molecules of equal SMILES are read and worked on once."""
+    rows = molecules(spark, sf_dir)
+    made = once_each(rows if not normalized else guarded(rows), lambda texts: work(prepare(texts, mode="DROPMALFORMED", normalized=normalized)).select("smiles", *columns))
+    return made.drop("smiles")
 
 
 def exploded(df: DataFrame, array: Column | str, name: str, place: str | None = None) -> DataFrame:
@@ -51,25 +58,25 @@ def by_atom(df: DataFrame, column: Column | str, name: str) -> DataFrame:
 
 
 def ecfp(**config) -> Query:
-    return lambda spark, sf_dir: exploded_bits(EcfpFingerprint(**config).compute(prepared(spark, sf_dir)))
+    return lambda spark, sf_dir: exploded_bits(prepared(spark, sf_dir, EcfpFingerprint(**config).compute, "fp"))
 
 
 def ecfp_count(**config) -> Query:
-    return lambda spark, sf_dir: exploded_counts(CountEcfpFingerprint(**config).compute(prepared(spark, sf_dir)))
+    return lambda spark, sf_dir: exploded_counts(prepared(spark, sf_dir, CountEcfpFingerprint(**config).compute, "fp"))
 
 
-def layered_rows(df: DataFrame) -> DataFrame:
-    layers = exploded(LayeredCountEcfpFingerprint().compute(df), "fp", "f", "layer")
+def ecfp_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers = exploded(prepared(spark, sf_dir, LayeredCountEcfpFingerprint().compute, "fp"), "fp", "f", "layer")
     counts = layers.select("mol_id", "layer", F.explode_outer("f.counts").alias("c")).where("c is not null")
     return counts.select("mol_id", "layer", "c.bit", "c.cnt")
 
 
 def pairs(**config) -> Query:
-    return lambda spark, sf_dir: exploded_bits(AtomPairFingerprint(**config).compute(prepared(spark, sf_dir)))
+    return lambda spark, sf_dir: exploded_bits(prepared(spark, sf_dir, AtomPairFingerprint(**config).compute, "fp"))
 
 
 def torsions(**config) -> Query:
-    return lambda spark, sf_dir: exploded_bits(TopologicalTorsionFingerprint(**config).compute(prepared(spark, sf_dir)))
+    return lambda spark, sf_dir: exploded_bits(prepared(spark, sf_dir, TopologicalTorsionFingerprint(**config).compute, "fp"))
 
 
 def mol_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,71 +84,72 @@ def mol_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mol_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    atoms = by_atom(prepared(spark, sf_dir), "mol.atoms", "a")
+    atoms = by_atom(prepared(spark, sf_dir, same, "mol.atoms"), "atoms", "a")
     return atoms.select("mol_id", "atom", "a.z", "a.charge", "a.aromatic", (F.col("a.h_explicit") + F.col("a.h_implicit")).alias("h"), "a.in_ring", "a.comp", "a.delta_mass")
 
 
 def mol_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(prepared(spark, sf_dir), "mol.bonds", "b").select("mol_id", "b.a", "b.b", "b.kind", "b.in_ring")
+    return exploded(prepared(spark, sf_dir, same, "mol.bonds"), "bonds", "b").select("mol_id", "b.a", "b.b", "b.kind", "b.in_ring")
 
 
 def mol_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_adjacency(prepared(spark, sf_dir))
+    df = prepared(spark, sf_dir, with_adjacency, "__adj")
     return by_atom(df, "__adj", "bonds").select("mol_id", "atom", F.size("bonds").alias("degree"), F.aggregate("bonds", F.lit(0), lambda n, b: n + b["order"]).alias("orders"))
 
 
 def mol_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = prepared(spark, sf_dir)
-    return df.select("mol_id", F.size("mol.atoms").alias("n_atoms"), F.size("mol.bonds").alias("n_bonds"), F.size("mol.rings").alias("n_rings"), fragment_count(F.col("mol")).alias("n_fragments"))
+    return prepared(spark, sf_dir, same, F.size("mol.atoms").alias("n_atoms"), F.size("mol.bonds").alias("n_bonds"), F.size("mol.rings").alias("n_rings"), fragment_count(F.col("mol")).alias("n_fragments"))
 
 
 def atom_invariant(ring: bool) -> Query:
-    return lambda spark, sf_dir: by_atom(with_atom_invariants(with_centers(with_adjacency(prepared(spark, sf_dir))), include_ring_membership=ring), "__inv", "inv")
+    work = lambda df: with_atom_invariants(with_centers(with_adjacency(df)), include_ring_membership=ring)
+    return lambda spark, sf_dir: by_atom(prepared(spark, sf_dir, work, "__inv"), "__inv", "inv")
 
 
 def bond_invariant(types: bool) -> Query:
+    work = lambda df: with_bond_invariants(with_centers(with_adjacency(df)), use_bond_types=types)
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = with_bond_invariants(with_centers(with_adjacency(prepared(spark, sf_dir))), use_bond_types=types)
-        return exploded(df, F.arrays_zip(F.col("mol.bonds"), F.col("__binv").alias("inv")), "x").select("mol_id", "x.bonds.a", "x.bonds.b", "x.inv")
+        df = prepared(spark, sf_dir, work, F.arrays_zip(F.col("mol.bonds"), F.col("__binv").alias("inv")).alias("zipped"))
+        return exploded(df, "zipped", "x").select("mol_id", "x.bonds.a", "x.bonds.b", "x.inv")
 
     return query
 
 
 def atom_pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_pi_electrons(with_centers(with_adjacency(prepared(spark, sf_dir))))
-    df = with_atom_codes(df)
-    return by_atom(df, F.arrays_zip(F.col("__pi").alias("pi"), F.col("__codes").alias("code")), "x").select("mol_id", "atom", "x.pi", "x.code")
+    work = lambda df: with_atom_codes(with_pi_electrons(with_centers(with_adjacency(df))))
+    df = prepared(spark, sf_dir, work, F.arrays_zip(F.col("__pi").alias("pi"), F.col("__codes").alias("code")).alias("zipped"))
+    return by_atom(df, "zipped", "x").select("mol_id", "atom", "x.pi", "x.code")
 
 
 def torsion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_pi_electrons(with_centers(with_adjacency(prepared(spark, sf_dir))))
-    df = with_atom_codes(with_atom_codes(df, subtract=1, out="__end"), subtract=2, out="__inner")
-    return by_atom(df, F.arrays_zip(F.col("__end").alias("end_code"), F.col("__inner").alias("inner_code")), "x").select("mol_id", "atom", "x.end_code", "x.inner_code")
+    def work(df: DataFrame) -> DataFrame:
+        df = with_pi_electrons(with_centers(with_adjacency(df)))
+        return with_atom_codes(with_atom_codes(df, subtract=1, out="__end"), subtract=2, out="__inner")
+
+    df = prepared(spark, sf_dir, work, F.arrays_zip(F.col("__end").alias("end_code"), F.col("__inner").alias("inner_code")).alias("zipped"))
+    return by_atom(df, "zipped", "x").select("mol_id", "atom", "x.end_code", "x.inner_code")
 
 
 def atom_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_pairs(with_distances(with_adjacency(prepared(spark, sf_dir)), 30))
+    df = prepared(spark, sf_dir, lambda df: with_pairs(with_distances(with_adjacency(df), 30)), "__pairs")
     return exploded(df, "__pairs", "p").select("mol_id", "p.a", "p.b", "p.d")
 
 
 def torsion_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_paths(with_adjacency(prepared(spark, sf_dir)))
+    df = prepared(spark, sf_dir, lambda df: with_paths(with_adjacency(df)), "__paths")
     return exploded(df, "__paths", "p").select("mol_id", *[F.get("p", F.lit(k)).alias(f"a{k}") for k in range(4)])
 
 
 def keys_among(keys: tuple[int, ...]) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return exploded_bits(MaccsFingerprint().compute(prepared(spark, sf_dir))).where(F.col("bit").isin(*keys))
-
-    return query
+    return lambda spark, sf_dir: maccs_full(spark, sf_dir).where(F.col("bit").isin(*keys))
 
 
 def mol_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = graph.with_neighbours(prepared(spark, sf_dir))
     mol = F.col("mol")
     at_second = graph.bonds(mol, 1)
-    return df.select(
-        "mol_id",
+    return prepared(
+        spark, sf_dir, graph.with_neighbours,
         graph.atom_count(mol).alias("n_atoms"),
         graph.is_empty_molecule(mol).alias("empty"),
         graph.has_edges(mol).alias("has_edges"),
@@ -151,33 +159,30 @@ def mol_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(at_second).alias("n_at_second"),
         F.aggregate(at_second, F.lit(0), lambda n, b: n + graph.other_node(b, 1)).alias("sum_at_second"),
         F.aggregate("neighbours", F.lit(0), lambda n, x: n + F.size(x)).alias("n_neighbours"),
-    )
+    )
 
 
 def mol_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.directed_table(prepared(spark, sf_dir)).drop("edge")
+    return graph.directed_table(prepared(spark, sf_dir, same, "mol")).drop("edge")
 
 
 def maccs_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded_bits(MaccsFingerprint().compute(prepared(spark, sf_dir)))
+    return exploded_bits(prepared(spark, sf_dir, MaccsFingerprint().compute, "fp"))
 
 
 def maccs_single_atom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = exploded(prepared(spark, sf_dir), atom_keys(F.col("mol")), "bit")
+    keys = exploded(prepared(spark, sf_dir, same, atom_keys(F.col("mol")).alias("keys")), "keys", "bit")
     return keys.where(F.col("bit").isin(*ATOM_KEYS))
 
 
 def maccs_special(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = prepared(spark, sf_dir)
-    return df.select("mol_id", aromatic_ring_count(F.col("mol")).alias("aromatic_rings"), fragment_count(F.col("mol")).alias("fragments"))
+    return prepared(spark, sf_dir, same, aromatic_ring_count(F.col("mol")).alias("aromatic_rings"), fragment_count(F.col("mol")).alias("fragments"))
 
 
 def fp_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = EcfpFingerprint().compute(prepared(spark, sf_dir))
-    df = CountEcfpFingerprint().compute(df, out="counts")
     fp, counts = F.col("fp"), F.col("counts")
-    return df.select(
-        "mol_id",
+    return prepared(
+        spark, sf_dir, lambda df: CountEcfpFingerprint().compute(EcfpFingerprint().compute(df), out="counts"),
         values.length(fp).alias("length"),
         values.contains(fp, 1057).alias("has_1057"),
         values.contains(fp, 999_999).alias("has_outside"),
@@ -187,41 +192,44 @@ def fp_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
         values.count(counts, -1).alias("count_outside"),
         F.aggregate(values.as_slice(counts), F.lit(0).cast("bigint"), lambda n, x: n + x).alias("n_counts"),
         F.size(values.active_bits(values.set_bit(fp, 5000))).alias("n_after_outside"),
-    )
+    )
 
 
 def fp_layer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layered_rows(prepared(spark, sf_dir)).rollup("mol_id", "layer").agg(F.sum("cnt").alias("cnt"))
+    return ecfp_layered(spark, sf_dir).rollup("mol_id", "layer").agg(F.sum("cnt").alias("cnt"))
+
+
+def with_hydrogens(df: DataFrame) -> DataFrame:
+    return df.withColumn("mol", explicit_h(F.col("mol")))
 
 
 def explicit_h_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = prepared(spark, sf_dir).withColumn("mol", explicit_h(F.col("mol")))
-    return exploded_counts(CountEcfpFingerprint().compute(df))
+    return exploded_counts(prepared(spark, sf_dir, lambda df: CountEcfpFingerprint().compute(with_hydrogens(df)), "fp"))
 
 
 def explicit_h_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = prepared(spark, sf_dir).withColumn("mol", explicit_h(F.col("mol")))
     hydrogens = F.size(F.filter("mol.atoms", lambda a: a["z"] == 1))
-    return df.select("mol_id", F.size("mol.atoms").alias("n_atoms"), F.size("mol.bonds").alias("n_bonds"), hydrogens.alias("n_hydrogens"))
+    return prepared(spark, sf_dir, with_hydrogens, F.size("mol.atoms").alias("n_atoms"), F.size("mol.bonds").alias("n_bonds"), hydrogens.alias("n_hydrogens"))
 
 
 def atom_pair_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = prepare(molecules(spark, sf_dir), mode="DROPMALFORMED", normalized=False)
-    return exploded_bits(AtomPairFingerprint().compute(raw))
+    return exploded_bits(prepared(spark, sf_dir, AtomPairFingerprint().compute, "fp", normalized=False))
 
 
 def torsion_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = prepare(molecules(spark, sf_dir), mode="DROPMALFORMED", normalized=False)
-    return exploded_bits(TopologicalTorsionFingerprint().compute(raw))
+    return exploded_bits(prepared(spark, sf_dir, TopologicalTorsionFingerprint().compute, "fp", normalized=False))
 
 
 def pi_electrons_metals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_atom_codes(with_pi_electrons(with_centers(with_adjacency(prepare(complexes(spark, sf_dir), mode="FAILFAST")))))
-    return df.select("mol_id", F.get("mol.atoms", F.lit(0))["z"].alias("z"), F.size(F.get("__adj", F.lit(0))).alias("degree"), F.get("__pi", F.lit(0)).alias("pi"), F.get("__codes", F.lit(0)).alias("code"))
+    def work(texts: DataFrame) -> DataFrame:
+        df = with_atom_codes(with_pi_electrons(with_centers(with_adjacency(prepare(texts, mode="FAILFAST")))))
+        return df.select("smiles", F.get("mol.atoms", F.lit(0))["z"].alias("z"), F.size(F.get("__adj", F.lit(0))).alias("degree"), F.get("__pi", F.lit(0)).alias("pi"), F.get("__codes", F.lit(0)).alias("code"))
+
+    return once_each(complexes(spark, sf_dir), work).drop("smiles")
 
 
 def fp_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = EcfpFingerprint(radius=3).compute(prepared(spark, sf_dir))
+    df = prepared(spark, sf_dir, EcfpFingerprint(radius=3).compute, "fp")
     return df.where((F.size("fp.bits") >= 12) & F.array_contains("fp.bits", 1057)).select("mol_id", F.size("fp.bits").alias("n_bits"))
 
 
@@ -232,13 +240,13 @@ def smiles_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def smiles_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.get(F.array(*map(F.lit, ["", "(", "[Xx]", "1"])), (F.col("mol_id") % 4).cast("int"))
-    df = try_prepare(molecules(spark, sf_dir).withColumn("smiles", F.concat("smiles", end)))
-    return df.select("mol_id", F.col("mol").isNotNull().alias("prepared"), (F.length("parse_error") > 0).alias("has_error"))
+    rows = molecules(spark, sf_dir).withColumn("smiles", F.concat("smiles", end))
+    work = lambda texts: try_prepare(texts).select("smiles", F.col("mol").isNotNull().alias("prepared"), (F.length("parse_error") > 0).alias("has_error"))
+    return once_each(rows, work).drop("smiles")
 
 
 def ecfp_zero_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = EcfpFingerprint(fp_size=0).compute(prepared(spark, sf_dir))
-    return df.select("mol_id", values.length(F.col("fp")).alias("length"), F.size(values.active_bits(F.col("fp"))).alias("n_bits"))
+    return prepared(spark, sf_dir, EcfpFingerprint(fp_size=0).compute, values.length(F.col("fp")).alias("length"), F.size(values.active_bits(F.col("fp"))).alias("n_bits"))
 
 
 def with_numbers(df: DataFrame, mol: str = "mol") -> DataFrame:
@@ -254,15 +262,15 @@ class ElementFingerprint:
 
 
 def custom_algorithm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded_bits(prepared(spark, sf_dir).transform(ElementFingerprint().compute))
+    return exploded_bits(prepared(spark, sf_dir, ElementFingerprint().compute, "fp"))
 
 
 def custom_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded_bits(EcfpFingerprint(radius=0, atom_invariants="numbers").compute(with_numbers(prepared(spark, sf_dir))))
+    return exploded_bits(prepared(spark, sf_dir, lambda df: EcfpFingerprint(radius=0, atom_invariants="numbers").compute(with_numbers(df)), "fp"))
 
 
 def custom_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded_bits(AtomPairFingerprint(count_simulation=False, atom_codes="numbers").compute(with_numbers(prepared(spark, sf_dir))))
+    return exploded_bits(prepared(spark, sf_dir, lambda df: AtomPairFingerprint(count_simulation=False, atom_codes="numbers").compute(with_numbers(df)), "fp"))
 
 
 QUERIES: dict[str, Query] = {
@@ -282,7 +290,7 @@ QUERIES: dict[str, Query] = {
     "ecfp_bits_no_ring": ecfp(include_ring_membership=False),
     "ecfp_count_r2": ecfp_count(),
     "ecfp_count_n1000": ecfp_count(fp_size=1000),
-    "ecfp_layered_r2": lambda spark, sf_dir: layered_rows(prepared(spark, sf_dir)),
+    "ecfp_layered_r2": ecfp_layered,
     "atom_pair_codes": atom_pair_codes,
     "atom_pair_distances": atom_pair_distances,
     "atom_pair_bits": pairs(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -86,6 +86,20 @@ def try_prepare(df: DataFrame, smiles: str = "smiles", **options) -> DataFrame:
     return prepare(df, smiles, "PERMISSIVE", **options)
 
 
+def once_each(df: DataFrame, work: Callable[[DataFrame], DataFrame], smiles: str = "smiles") -> DataFrame:
+    """df with the columns that work makes of its different SMILES, each taken once in the whole job; rows of which work keeps none are left out.
+
+    work: a table of one column, smiles, to one that has smiles and its results, at most one row for each. The SMILES are dealt over as many tasks as the session
+    shuffles to, however few files or row groups df is read from. The join is by sorting: nothing is broadcast, whatever the size.
+    """
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # by a hash: dealt by smiles itself, as the distinct ones already are, the optimizer would drop the deal and read few small partitions in one task
+    texts = df.select(F.col(smiles).alias("smiles")).distinct().repartition(width, F.xxhash64("smiles"))
+    found = work(texts).withColumnRenamed("smiles", "__text").hint("merge")
+    return df.join(found, F.col(smiles).eqNullSafe(F.col("__text"))).drop("__text")
+
+
 # Names that users of older code may know.
 smiles_ecfp_graph, smiles_ecfp_scratch = prepare, try_prepare
 
