@@ -70,8 +70,12 @@ def active_counts(fp: Column) -> Column:
 
 
 def as_slice(fp: Column) -> Column:
-    """Array of counts of the whole length."""
-    return F.when(fp["len"] > 0, F.transform(F.sequence(F.lit(0), fp["len"] - 1), lambda i: count(fp, i))).otherwise(F.array().cast("array<bigint>"))
+    """Array of counts of the whole length: for each count the zeros since the one before and itself, then the zeros to the end; not a search for each place."""
+    zero = F.lit(0).cast("bigint")
+    inside = F.array_sort(F.filter(fp["counts"], lambda c: (c["bit"] >= 0) & (c["bit"] < fp["len"])))
+    starts = F.concat(F.array(F.lit(0)), F.transform(inside, lambda c: c["bit"] + 1))
+    part = lambda c, start: F.when(c.isNull(), F.array_repeat(zero, fp["len"] - start)).otherwise(F.concat(F.array_repeat(zero, c["bit"] - start), F.array(c["cnt"])))
+    return F.when(fp["len"] > 0, F.flatten(F.zip_with(inside, starts, part))).otherwise(F.array().cast("array<bigint>"))
 
 
 def increment(fp: Column, bit: Column | int) -> Column:

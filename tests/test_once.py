@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ringwork.operators.values import as_slice
 from ringwork.plans.queries import QUERIES
 from ringwork.sources.prepare import once_each
 
@@ -33,3 +34,14 @@ def test_each_smiles_once_over_several_tasks(spark):
 def test_queries_deal_molecules_over_the_tasks(name, spark):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_slice_of_counts_has_no_search_for_each_place(spark):
+    kind = "fp struct<len:int,counts:array<struct<bit:int,cnt:bigint>>>"
+    rows = [(((2048, [(0, 3), (1, 1), (900, 2), (2047, 5)])),), ((4, []),), ((0, []),), ((3, [(7, 1), (1, 2)]),), (None,)]
+    df = spark.createDataFrame(rows, kind).coalesce(1)
+    got = [r.x for r in df.select(as_slice(F.col("fp")).alias("x")).collect()]
+    whole = [0] * 2048
+    whole[0], whole[1], whole[900], whole[2047] = 3, 1, 2, 5
+    assert got == [whole, [0] * 4, [], [0, 2, 0], []]
+    assert "sequence(" not in df.select(as_slice(F.col("fp")))._jdf.queryExecution().analyzed().toString()
