@@ -70,6 +70,7 @@ def settled(value: Column) -> Column:
 
     A fingerprint stands on many projections, each of which names columns below more than once. A filter, join or explode on the result would be pushed down
     through them all, and each name replaced by its expression, so that the plan grows as a power of the projections; through a column like this it is not.
+    Nor is an array that a lambda names once put into the lambda in place of its name, where it would be made anew for each element.
     """
     return F.when(F.spark_partition_id() >= 0, value)
 

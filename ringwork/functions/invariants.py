@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringwork.functions.hashing import sequence_hash, u32
+from ringwork.functions.hashing import sequence_hash, settled, u32
 
 HALOGENS = (17, 35, 53)
 # Atomic numbers with a type of their own in pair and torsion codes; all others share the last type.
@@ -124,7 +124,7 @@ def with_pi_electrons(df: DataFrame, mol: str = "mol", adj: str = "__adj", dox:
             .when(z.isin(*HALOGENS), F.when(degree >= 2, 0).otherwise(unsat)).when(z.isin(15, 33, 51), F.when(phosphorus, unsat).otherwise(0)).when(z.isin(16, 34, 52), sulfur).otherwise(unsat)
         )
 
-    return df.withColumn(out, F.transform(F.col(f"{mol}.atoms"), of))
+    return df.withColumn(out, settled(F.transform(F.col(f"{mol}.atoms"), of)))
 
 
 def with_atom_codes(df: DataFrame, mol: str = "mol", subtract: int = 0, adj: str = "__adj", pi: str = "__pi", out: str = "__codes") -> DataFrame:
@@ -137,4 +137,4 @@ def with_atom_codes(df: DataFrame, mol: str = "mol", subtract: int = 0, adj: str
         code = (degree % 7) + (F.get(F.col(pi), i) % 3) * 8
         return code.cast("bigint") + kind * 32
 
-    return df.withColumn(out, F.transform(F.col(f"{mol}.atoms"), of))
+    return df.withColumn(out, settled(F.transform(F.col(f"{mol}.atoms"), of)))

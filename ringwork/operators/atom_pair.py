@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringwork.functions.hashing import presence, sequence_hash, simulated, with_settled
+from ringwork.functions.hashing import presence, sequence_hash, settled, simulated, with_settled
 from ringwork.functions.invariants import with_adjacency, with_atom_codes, with_centers, with_pi_electrons
 
 FARTHEST = 254  # distances beyond are not told apart
@@ -28,7 +28,7 @@ def with_distances(df: DataFrame, farthest: int, adj: str = "__adj", out: str =
         start = F.struct(F.transform(F.col(adj), lambda _, j: F.when(i == j, 0)).alias("dist"), F.array(i).alias("front"))
         return F.aggregate(steps, start, step)["dist"]
 
-    return df.withColumn(out, F.transform(adj, of))
+    return df.withColumn(out, settled(F.transform(adj, of)))
 
 
 def with_pairs(df: DataFrame, nearest: int = 1, farthest: int = 30, dist: str = "__dist", out: str = "__pairs") -> DataFrame:

@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ringwork.operators.atom_pair import AtomPairFingerprint
+from ringwork.operators.torsion import TopologicalTorsionFingerprint
 from ringwork.operators.values import as_slice
 from ringwork.plans.queries import QUERIES
-from ringwork.sources.prepare import once_each
+from ringwork.sources.prepare import once_each, prepare
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +47,17 @@ def test_slice_of_counts_has_no_search_for_each_place(spark):
     whole[0], whole[1], whole[900], whole[2047] = 3, 1, 2, 5
     assert got == [whole, [0] * 4, [], [0, 2, 0], []]
     assert "sequence(" not in df.select(as_slice(F.col("fp")))._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize(
+    ("fp", "names"),
+    [
+        (AtomPairFingerprint(), ["__pi"]),
+        (TopologicalTorsionFingerprint(), ["__end", "__inner"]),
+        (TopologicalTorsionFingerprint(only_shortest_paths=True), ["__dist", "__end", "__inner"]),
+    ],
+)
+def test_arrays_that_lambdas_look_up_are_made_once(fp, names, spark):
+    df = prepare(spark.createDataFrame([("CCO",)], "smiles string"))
+    plan = fp.compute(df).select("fp")._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"AS {name}#" in plan for name in names)
