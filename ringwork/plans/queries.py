@@ -196,7 +196,10 @@ def fp_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fp_layer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ecfp_layered(spark, sf_dir).rollup("mol_id", "layer").agg(F.sum("cnt").alias("cnt"))
+    # a row for each layer that emits, not for each of its bits, is what the rollup repeats for its levels
+    total = lambda f: F.when(F.size(f["counts"]) > 0, F.aggregate(f["counts"], F.lit(0).cast("bigint"), lambda n, c: n + c["cnt"]))
+    layers = prepared(spark, sf_dir, LayeredCountEcfpFingerprint().compute, F.transform("fp", total).alias("totals"))
+    return exploded(layers, "totals", "cnt", "layer").where("cnt is not null").rollup("mol_id", "layer").agg(F.sum("cnt").alias("cnt"))
 
 
 def with_hydrogens(df: DataFrame) -> DataFrame:

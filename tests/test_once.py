@@ -61,3 +61,8 @@ def test_arrays_that_lambdas_look_up_are_made_once(fp, names, spark):
     df = prepare(spark.createDataFrame([("CCO",)], "smiles string"))
     plan = fp.compute(df).select("fp")._jdf.queryExecution().optimizedPlan().toString()
     assert all(f"AS {name}#" in plan for name in names)
+
+
+def test_rollup_takes_layers_not_bits(spark):
+    plan = QUERIES["fp_layer_rollup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" in plan and "counts" not in plan.split("Join")[0]
